@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -271,9 +272,7 @@ def _reader(df: DataFrame, text: Column, model: Model, kind: str, make) -> Colum
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, whatever the data's size
 
     @F.pandas_udf(kind)
-    def read(texts: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
-        import pandas as pd
-
+    def read(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
         for batch in texts:
             yield pd.Series([[] if x is None else make(x, model.languages) for x in readings(model, batch.tolist())], dtype=object)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,9 +135,7 @@ def pieces_column(text: Column, most: int = MOST, overlap: int = OVERLAP, least:
         raise ValueError("needs overlap < least <= most - overlap")
 
     @F.pandas_udf(PIECES)
-    def cut(texts: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
-        import pandas as pd
-
+    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([[(k + 1, b, e, o, kind) for k, (b, e, o, kind) in enumerate(split_points(t, most, overlap, least))] if t else [] for t in batch])
 
