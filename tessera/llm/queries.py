@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.packed import register_hints, unpacked
 from ..session import table
-from . import bpe, encoding, language, mixing, names, splitting
+from . import bpe, encoding, language, mixing, names, spans, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,6 +101,14 @@ def p9_epoch(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(sizes, targets, total_tokens=float(total))[1]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sharing_pairs(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_share(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
 
