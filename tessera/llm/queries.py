@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.packed import register_hints, unpacked
 from ..session import table
-from . import bpe, encoding, language, mixing, names, spans, splitting
+from . import bpe, encoding, language, mixing, names, scans, spans, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,22 @@ def p3_passages(spark: SparkSession, d: str) -> DataFrame:
     return encoding.passages(texts, ["source_table", "record_id"], "text", scores).distinct()
 
 
+def _minutes(spark: SparkSession, d: str) -> DataFrame:
+    """(meeting_id, field, text) of both fields of the minutes; meetings scraped twice have the same texts."""
+    meetings = table(spark, d, "commission_meetings")
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("points_raised", "conclusions")])
+    return meetings.select(F.col("id").alias("meeting_id"), F.explode(fields).alias("f")).select("meeting_id", "f.field", "f.text").where(F.length("text") > 0)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = scans.repaired(_minutes(spark, d), ["meeting_id", "field"], "text")
+    return found.where(F.col("broken") + F.col("misread") + F.col("split") + F.col("furniture") > 0).select("meeting_id", "field").distinct()
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(_minutes(spark, d), ["meeting_id", "field"], "text").distinct()
+
+
 def _typed_names(spark: SparkSession, d: str) -> DataFrame:
     """Every typed name: source_table, record_id, pos, name, told (a register id that came with it)."""
     register = table(spark, d, "organizations")
