@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.packed import register_hints, unpacked
 from ..session import table
-from . import bpe, encoding, language, mixing, names, scans, spans, splitting
+from . import bpe, encoding, language, matching, mixing, names, scans, spans, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,24 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(feedback, "feedback_id", "feedback_text").distinct()
 
 
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    """Meetings with the files they dealt with; the minutes are read without the traces of their pages."""
+    meetings, register = table(spark, d, "commission_meetings"), table(spark, d, "legal_procedures")
+    model = scans.train(scans.statistics(_minutes(spark, d).select("text"), "text"))
+    index = matching.build_index(register, table(spark, d, "procedure_aliases"), meetings, "subject")
+    narrow = meetings.select("id", "subject", "meeting_date", "points_raised")
+    narrow = narrow.withColumn("points_raised", F.when(F.length("points_raised") > 0, scans.readings(narrow, F.col("points_raised"), model)["text"]))
+    return matching.match(narrow, register, index, "id", "subject", "points_raised", "meeting_date")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _matched(spark, d).select(F.col("id").alias("meeting_id"), "procedure_id").distinct()
+
+
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    return _matched(spark, d).withColumnRenamed("id", "meeting_id")
+
+
 def _decoded_texts(spark: SparkSession, d: str) -> DataFrame:
     feedback = table(spark, d, "hys_feedback_bronze").select(F.lit("hys_feedback_bronze").alias("source_table"), F.col("feedback_id").cast("string").alias("record_id"), F.col("feedback_text").alias("text"))
     names_ = table(spark, d, "commission_meeting_organizations").select(F.lit("commission_meeting_organizations").alias("source_table"), F.col("id").alias("record_id"), F.col("organization_name").alias("text"))
