@@ -89,7 +89,8 @@ def _typed_names(spark: SparkSession, d: str) -> DataFrame:
 def _linked_names(spark: SparkSession, d: str) -> DataFrame:
     register = table(spark, d, "organizations")
     typed = _typed_names(spark, d)
-    corpus = typed.select("name").unionByName(register.select("name"))
+    fields = [register.select("name")] + [table(spark, d, t).select(F.col(c).alias("name")) for t, c in (("commission_meeting_organizations", "organization_name"), ("hys_feedback_bronze", "organisation_name"), ("commission_meetings", "organizations_raw"))]
+    corpus = fields[0].unionByName(fields[1]).unionByName(fields[2]).unionByName(fields[3])
     scores = encoding.pair_scores(encoding.pair_counts(corpus, "name"))
     written = register.select(F.col("name").alias("name"), F.col("id").alias("exact")).where(F.col("name").isNotNull()).groupBy("name").agg(F.min("exact").alias("exact"))
     other = typed.join(written.select("name"), "name", "left_anti")
