@@ -64,8 +64,12 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def edges_of(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text's number, hash, start, end) of every edge of some texts, in order. Runs of one edge are kept by their ends."""
+def edges_of(texts: list[str], k: int, w: int, least: int) -> tuple[np.ndarray, ...]:
+    """(text's number, hash, start, end, left, right) of every edge of some texts, in order. Runs of one edge are kept by their ends.
+
+    left and right are hashes of half of what the edge lacks of `least` characters, before and behind it; 0 where the
+    text has no such half. A longer edge lacks nothing: its left is 1 and its right 0.
+    """
     none = np.zeros(0, np.int64)
     joined = "\0".join(texts)
     c = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -73,7 +77,7 @@ def edges_of(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray,
     first = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
     n = len(c)
     if n < k + w:
-        return none, none, none, none
+        return none, none, none, none, none, none
     with np.errstate(over="ignore"):
         c = _mixed(c + _BASE)
         power = _powers(n + 1)
@@ -84,12 +88,12 @@ def edges_of(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray,
         for a, size in zip(first, lengths):  # k-mers that reach into the next text are no anchors
             h[max(a, a + size - k + 1) : a + size + 1] = np.uint64(0xFFFFFFFFFFFFFFFF)
         if len(h) < w:
-            return none, none, none, none
+            return none, none, none, none, none, none
         lowest = _windows(h, w, np.minimum)
         padded = np.concatenate((np.zeros(w - 1, np.uint64), lowest, np.zeros(w - 1, np.uint64)))
         at = np.flatnonzero((_windows(padded, w, np.maximum) == h) & (h != np.uint64(0xFFFFFFFFFFFFFFFF)))
         if len(at) < 2:
-            return none, none, none, none
+            return none, none, none, none, none, none
         owner = np.searchsorted(first, at, side="right") - 1
         same = owner[1:] == owner[:-1]
         a, b, own = at[:-1][same], at[1:][same] + k, owner[:-1][same]
@@ -97,11 +101,17 @@ def edges_of(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray,
         repeat = (e[1:] == e[:-1]) & (own[1:] == own[:-1])
         inner = np.concatenate((repeat, [False])) & np.concatenate(([False], repeat))
         keep = ~inner
-    return own[keep], e[keep].view(np.int64), (a - first[own])[keep], (b - first[own])[keep]
+        own, a, b, e = own[keep], a[keep], b[keep], e[keep]
+        half = np.maximum((least - (b - a) + 1) // 2, 0)
+        one = np.uint64(1)
+        before, behind = np.maximum(a - half, 0), np.minimum(b + half, n)
+        left = np.where(half == 0, one, np.where(a - half >= first[own], _mixed((sums[a] - sums[before]) * back[before]) | one, np.uint64(0)))
+        right = np.where((half > 0) & (b + half <= first[own] + lengths[own]), _mixed((sums[behind] - sums[b]) * back[b]) | one, np.uint64(0))
+    return own, e.view(np.int64), a - first[own], b - first[own], left.view(np.int64), right.view(np.int64)
 
 
 def edges(df: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
-    """(e, doc, s, t): every edge of every text of at least `least` characters."""
+    """(e, doc, s, t, left, right): every edge of every text of at least `least` characters; see edges_of."""
     k, w = sizes(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,19 +121,27 @@ def edges(df: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> Data
             for hi, t in enumerate(texts, 1):
                 size += len(t)
                 if size >= 400_000 or hi == len(texts):
-                    own, e, s, t_ = edges_of(texts[lo:hi], k, w)
-                    yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), ids.take(pa.array(own + lo, pa.int64())), pa.array(s.astype(np.int32)), pa.array(t_.astype(np.int32))], names=["e", "doc", "s", "t"])
+                    own, e, s, t_, left, right = edges_of(texts[lo:hi], k, w, least)
+                    columns = [pa.array(e, pa.int64()), ids.take(pa.array(own + lo, pa.int64())), pa.array(s.astype(np.int32)), pa.array(t_.astype(np.int32)), pa.array(left, pa.int64()), pa.array(right, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["e", "doc", "s", "t", "left", "right"])
                     lo, size = hi, 0
 
-    schema = T.StructType([T.StructField("e", T.LongType()), T.StructField("doc", df.schema[id_col].dataType), T.StructField("s", T.IntegerType()), T.StructField("t", T.IntegerType())])
+    schema = T.StructType([T.StructField("e", T.LongType()), T.StructField("doc", df.schema[id_col].dataType), T.StructField("s", T.IntegerType()), T.StructField("t", T.IntegerType()), T.StructField("left", T.LongType()), T.StructField("right", T.LongType())])
     return df.where((F.length(df[text_col]) >= least) & df[id_col].isNotNull()).select(df[id_col], df[text_col]).mapInArrow(run, schema)
 
 
 def repeated(all_edges: DataFrame) -> DataFrame:
-    """The edges that two or more records have. One exchange by the edge's hash serves the count and the join."""
+    """(e, doc, s, t): edges that two or more records have, with half of what the edge lacks of a span on one side.
+
+    One exchange by the edge's hash serves the count, the join and the windows over (edge, side, half).
+    """
     by_edge = all_edges.repartition("e")
     often = by_edge.groupBy("e").agg(F.min("doc").alias("__a"), F.max("doc").alias("__b")).where(F.col("__a") < F.col("__b")).select("e")
-    return by_edge.join(often, "e", "left_semi")
+    kept = by_edge.join(often, "e", "left_semi")
+    halves = kept.select("e", "doc", "s", "t", F.posexplode(F.array("left", "right")).alias("__side", "__half")).where(F.col("__half") != 0)
+    alike = Window.partitionBy("e", "__side", "__half")
+    shared = halves.withColumn("__a", F.min("doc").over(alike)).withColumn("__b", F.max("doc").over(alike)).where(F.col("__a") < F.col("__b"))
+    return shared.groupBy("e", "doc", "s", "t").agg(F.lit(1).alias("__one")).drop("__one")
 
 
 def compacted(occurrences: DataFrame, k: int) -> DataFrame:
