@@ -116,13 +116,16 @@ def split_points(text: str, most: int = MOST, overlap: int = OVERLAP, least: int
                 if lo < hi:
                     k = lo + int(np.flatnonzero(ranks[lo:hi] == ranks[lo:hi].max())[-1])
                     e = int(ends[k])
+                elif (lo := np.searchsorted(ends, s + core + 1)) < np.searchsorted(ends, s + most + 1):
+                    e = int(ends[lo])  # a long word: its end is within the limit if the overlap is smaller
                 else:  # no word ends within reach: cut inside it, at a landmark if there is one
                     i, j = np.searchsorted(marks, (s + least, s + core + 1))
                     e = int(marks[i]) if i < j else s + core
         begin = 0
         if s:
-            k = np.searchsorted(starts, s - overlap)
-            begin = int(starts[k]) if k < len(starts) and starts[k] <= s else s - overlap
+            room = min(overlap, most - (e - s))
+            k = np.searchsorted(starts, s - room)
+            begin = int(starts[k]) if k < len(starts) and starts[k] <= s else s - room
         out.append((begin, e, s - begin, "end" if e == n else str(_KINDS[rank_at.get(e, 0)])))
         if e >= n:
             return out
