@@ -47,7 +47,7 @@ def _letters() -> np.ndarray:
 
 
 _LETTERS = _letters()
-_SENTENCE = re.compile(r"""[.!?…;·。！？]["'”’»)\]]*(?:\s+(?![a-zà-öø-ÿά-ώ0-9\s])|(?<=[。！？]))|\n\s*\n\s*|\n\s*(?=[-•*·–]\s)""")
+_SENTENCE = re.compile(r"""[.!?…;·。！？]["'”’»)\]]*(?:[ \t]*\r?\n\s*|\s+(?![a-zà-öø-ÿά-ώ0-9\s])|(?<=[。！？]))|\n\s*\n\s*|\n\s*(?=[-•*·–]\s)""")
 _ENDS = re.compile(r"""[.!?…;。！？]["'”’»)\]]*\s*$""")
 _THREE_WORDS = re.compile(r"[^\W\d_]{2,}(?:[^\w]+(?:\w+[^\w]+){0,30}?[^\W\d_]{2,}){2}")
 

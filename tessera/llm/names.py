@@ -200,7 +200,7 @@ class Lexicon:
                         put(w, COST["short"])
                 if vowels <= max(1, len(word) // 4):
                     for w in self.vocabulary:
-                        if len(w) >= len(word) + 2 and w[0] == word[0] and w[-1] == word[-1] and _subsequence(word, w):
+                        if len(w) >= len(word) + 2 and w[0] == word[0] and (w[-1] == word[-1] or dotted and len(word) >= 4) and _subsequence(word, w):
                             put(w, COST["short"] + 0.5)
                 if dotted and not out:
                     for w in self.vocabulary:  # a short writing with a slip in it
@@ -256,9 +256,13 @@ class Lexicon:
             for key, cost in self.matches(option).items():
                 put(" ".join(key), cost, legal)
         if not found:  # a space is missing somewhere, a legal form has a slip in it, or a single letter stands around
-            for option in self.options(tokens):
+            for option in [*self.options(tokens), *self.shorter(tokens)]:
                 for key, cost, form in self.loose(option):
                     put(" ".join(key), cost, legal or form)
+            if not found:
+                for option in [tokens, *self.shorter(tokens)]:
+                    for key, cost in {**self.relaxed(option), **(self.matches(option) if option is not tokens else {})}.items():
+                        put(" ".join(key), cost + COST["slip"], legal)
             if not found and len(squeezed) >= 6 and len(tokens) == 1:
                 for a, n in ((a, slips(squeezed, a, 1)) for a in self.acronyms if abs(len(a) - len(squeezed)) <= 1):
                     if n <= 1:
@@ -269,6 +273,49 @@ class Lexicon:
         self.answers[name] = out
         return out
 
+    def shorter(self, tokens: list[str]) -> Iterator[list[str]]:
+        """The tokens without one at either end that looks like their initials or like an office with slips in it."""
+        for i in {0, len(tokens) - 1} if len(tokens) > 1 else ():
+            word = tokens[i].rstrip(".")
+            if _like_acronym(word, tokens) or any(len(o) >= 6 and slips(word, o, 2) <= 2 for o in OFFICES):
+                yield tokens[:i] + tokens[i + 1 :]
+
+    def relaxed(self, tokens: list[str]) -> dict[tuple[str, ...], float]:
+        """Keys of as many tokens where a word that only one body has is certain and the others are near, or all but one are certain."""
+        out: dict[tuple[str, ...], float] = {}
+        if len(tokens) < 2:
+            return out
+        words = [t.rstrip(".") for t in tokens]
+        read = [self.read(t) for t in tokens]
+        seen = {k for r in read for w in r for k in self.bodies[w] if len(self.bodies[w]) <= 400}
+        for k in seen:
+            key = self.keys[k]
+            if len(key) != len(tokens):
+                continue
+            left, open_, cost, own = list(key), [], 0.0, False
+            for i in sorted(range(len(tokens)), key=lambda i: sum(w in read[i] for w in key)):
+                best = min((w for w in left if w in read[i]), key=read[i].__getitem__, default=None)
+                if best is None:
+                    open_.append(i)
+                else:
+                    left.remove(best)
+                    cost += read[i][best]
+                    own |= len(self.bodies[best]) == 1 and len(best) >= 5 and read[i][best] <= COST["slip"]
+            if not open_ or (len(open_) > 1 and not own) or (not own and len(tokens) < 3):
+                continue
+            for i in open_:
+                word = words[i]
+                near = sorted((slips(word, w, 4), w) for w in left)
+                n, w = near[0]
+                if n > ((max(len(w), len(word)) + 1) // 2 if own else 2) or n > 4 or (not own and min(len(w), len(word)) < 4):
+                    break
+                left.remove(w)
+                cost += n * COST["slip"]
+            else:
+                if cost < out.get(key, math.inf):
+                    out[key] = cost
+        return out
+
     def loose(self, tokens: list[str]) -> Iterator[tuple[tuple[str, ...], float, str | None]]:
         """Keys reached by putting a missing space in, or by leaving out a short token that nothing explains."""
         for i, t in enumerate(tokens):
