@@ -171,3 +171,28 @@ def test_streaming_ledger(spark, tmp_path):
     spark.createDataFrame([(2, "b"), (3, "c")], schema).coalesce(1).write.mode("append").parquet(src)
     run()
     assert rows(spark.read.parquet(f"file://{tmp_path}/out"), "id") == [(1,), (2,), (3,)]
+
+
+def test_title_links(spark):
+    from tessera.operators.linking import link_titles
+
+    entries = spark.createDataFrame([("2015/0001(COD)", "2015-01-01", "2016-01-01", None), ("2019/0002(COD)", "2019-01-01", None, "2019-06-01"), ("2015/0003(COD)", "2015-06-01", "2016-06-01", None)], "id string, p string, q string, l string")
+    entries = entries.select("id", *[F.col(a).cast("date").alias(b) for a, b in (("p", "proposal_date"), ("q", "decision_date"), ("l", "last_activity_date"))])
+    aliases = spark.createDataFrame([("2015/0001(COD)", "Foo Act"), ("2019/0002(COD)", "Foo Act"), ("2015/0003(COD)", "Foo Act"), ("2015/0001(COD)", "Act"), ("2015/0001(COD)", None)], "procedure_id string, alias string")
+    t = [("a", "Exchange of views on the Foo Act", "2015-05-05"), ("b", "About 2019/0002(COD) and the foo act", "2015-05-05"), ("c", "The Foo Act, trilogue", "2019-05-05"), ("d", "meeting", "2015-05-05"), ("e", "Foo Act", None), ("f", None, "2015-05-05"), ("g", "foo act", "2030-01-01")]
+    titles = spark.createDataFrame(t + t[:1], "id string, s string, d string").withColumn("d", F.col("d").cast("date"))
+    got = rows(link_titles(titles, entries, aliases, "id", "s", "d"), "record", "entry", "method", "rank")
+    assert got == [
+        ("a", "2015/0001(COD)", "alias_exact", 2), ("a", "2015/0003(COD)", "alias_exact", 1), ("b", "2019/0002(COD)", "cited", 1), ("c", "2019/0002(COD)", "alias_substring", 1),
+        ("e", "2015/0001(COD)", "alias_exact", 1), ("e", "2015/0003(COD)", "alias_exact", 2), ("e", "2019/0002(COD)", "alias_exact", 3),
+    ]
+
+
+def test_fuzzy_against_all_pairs(spark):
+    from tessera.operators.linking import decision_band, fuzzy_candidates
+
+    reg = [(str(i), n) for i, n in enumerate(["Alpine Network", "Alpine Netwrok Ltd", "Carpathian Union", "Foo", "Zeta Makers", "Zeta Bakers"])]
+    names = ["alpine network", "Carpathian Unoin", "Zeta Makers", "", None, "qq", "Foo"]
+    got = {(r["name"], r["id"]): r["score"] for r in fuzzy_candidates(spark.createDataFrame([(n,) for n in names], "n string"), spark.createDataFrame(reg, "id string, name string"), "n", "name", "id").collect()}
+    assert got["alpine network", "0"] == 100 and got["Carpathian Unoin", "2"] > 80 and got["Zeta Makers", "4"] == 100 and got["Zeta Makers", "5"] == 90.0 and got["Foo", "3"] == 100
+    assert spark.range(1).select(decision_band(F.lit(95.0)).alias("b")).first()["b"] == "to_decider"
