@@ -101,6 +101,26 @@ def legal_structure(text: str | None) -> list[tuple[str, str, str, str]]:
     return [(a, b, c, d.strip()) for a, b, c, d in out if d.strip() or a != "preamble"]
 
 
+def html_structure(page: str | None) -> list[tuple[str, str, str, str]]:
+    """legal_structure of a page's text; deleted mark-up is gone by then."""
+    return legal_structure(html_text(page)) if page else []
+
+
+def html_amendments(page: str | None) -> list[tuple[str, str]]:
+    """(original, amended) of each two-column row behind a heading row, in order."""
+    rows = [r for r in html_rows(page) if len(r) == 2]
+    return [(a, b) for a, b in rows if not re.match(r"(?i)^(text proposed|original|draft)", a)]
+
+
+def structural_chunks(text: str | None, most: int = 1500) -> list[tuple[str, str, str]]:
+    """(kind, number, piece): provisions packed to pieces of at most `most`; long ones are cut, annexes come last."""
+    parts = legal_structure(text)
+    out = []
+    for kind, number, _, body in [p for p in parts if p[0] != "annex"] + [p for p in parts if p[0] == "annex"]:
+        out += [(kind, number, piece) for piece in recursive_chunks(body, most, 0)]
+    return out
+
+
 def provisions(df: DataFrame, id_col: str, text_col: str, least: int = 11, most: int = 10_000) -> DataFrame:
     """One row a provision: id, kind, number, context, sort_order, text cut at `most`; very short ones are left out."""
 
