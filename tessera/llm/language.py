@@ -17,11 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Writings of languages in labels (ISO 639-1; 639-2/T and /B; English names).
+# Writings of languages in labels (ISO 639-1; 639-2/T and /B; English names; own names).
 CODES = {
-    "bg": "bul bulgarian", "cs": "ces cze czech", "da": "dan danish", "de": "deu ger german", "el": "ell gre greek", "en": "eng english", "es": "spa spanish", "et": "est estonian",
-    "fi": "fin finnish", "fr": "fra fre french", "ga": "gle irish", "hr": "hrv croatian", "hu": "hun hungarian", "it": "ita italian", "lt": "lit lithuanian", "lv": "lav latvian",
-    "mt": "mlt maltese", "nl": "nld dut dutch", "pl": "pol polish", "pt": "por portuguese", "ro": "ron rum romanian", "sk": "slk slo slovak", "sl": "slv slovenian", "sv": "swe swedish",
+    "bg": "bul bulgarian български", "cs": "ces cze czech čeština", "da": "dan danish dansk", "de": "deu ger german deutsch", "el": "ell gre greek ελληνικά", "en": "eng english", "es": "spa spanish español castellano", "et": "est estonian eesti",
+    "fi": "fin finnish suomi", "fr": "fra fre french français", "ga": "gle irish gaeilge", "hr": "hrv croatian hrvatski", "hu": "hun hungarian magyar", "it": "ita italian italiano", "lt": "lit lithuanian lietuvių", "lv": "lav latvian latviešu",
+    "mt": "mlt maltese malti", "nl": "nld dut dutch nederlands", "pl": "pol polish polski", "pt": "por portuguese português", "ro": "ron rum romanian română", "sk": "slk slo slovak slovenčina", "sl": "slv slovenian slovenščina", "sv": "swe swedish svenska",
 }
 WRITINGS = {w: code for code, names in CODES.items() for w in [code, *names.split()]}
 
@@ -55,7 +55,7 @@ _THREE_WORDS = re.compile(r"[^\W\d_]{2,}(?:[^\w]+(?:\w+[^\w]+){0,30}?[^\W\d_]{2,
 def label_code(label: Column) -> Column:
     """A label in any usual writing as a two-letter code; null if it is missing or says nothing."""
     known = F.create_map(*[F.lit(x) for pair in sorted(WRITINGS.items()) for x in pair])
-    return F.element_at(known, F.regexp_extract(F.lower(F.trim(label)), r"^([a-z]+)(?:[-_][a-z0-9]+)*$", 1))
+    return F.element_at(known, F.regexp_extract(F.lower(F.trim(label)), r"^(\p{L}+)", 1))
 
 
 def sentences(text: str) -> list[tuple[int, int]]:

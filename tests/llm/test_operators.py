@@ -361,3 +361,9 @@ def test_blocking_recall():
                 total += 1
                 found += i in index.candidates(v)
     assert total and found / total >= 0.9
+
+
+def test_label_writings(spark):
+    cases = {"EN": "en", "en-GB": "en", "el_GR": "el", "English (UK)": "en", " deutsch ": "de", "Français": "fr", "ΕΛΛΗΝΙΚΆ": "el", "POR": "pt", "und": None, "XX": None, "?": None, "": None, "unknown": None, None: None}
+    rows = spark.createDataFrame([(k,) for k in cases], "x string").select("x", language.label_code(F.col("x")).alias("c")).collect()
+    assert {r["x"]: r["c"] for r in rows} == cases
