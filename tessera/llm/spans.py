@@ -167,61 +167,79 @@ def _common(a_left: pd.Series, b_left: pd.Series, a_right: pd.Series, b_right: p
     return pd.DataFrame({"left": left, "right": right}, dtype="int32")
 
 
-def shared_spans(df: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
-    """(doc_a, doc_b, start_a, end_a, start_b, end_b), doc_a < doc_b: spans of at least `least` identical characters.
-
-    Exact up to collisions of 64-bit hashes of whole edges: every pair of records that has such a span comes out, with
-    at least one span for each place where compacted paths meet, extended by up to `least` characters on both sides.
-    Case and white space count. Null, empty and short texts give nothing; several rows with one id count as one record.
-    """
+def _near(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(head, doc, copy, s, t, left, right): every record's paths with what is around them; copies of a text share `copy`."""
     k, _ = sizes(least)
     found = stored(compacted(repeated(edges(df, id_col, text_col, least)), k), "paths")
-    size = F.col("t") - F.col("s")
     texts = df.where(F.length(df[text_col]) >= least).select(df[id_col].alias("doc"), df[text_col].alias("__text"))
     # a context of `least` characters on both sides; only records with a path are joined to their texts
     near = found.join(texts, "doc").select(
-        "head", "doc", "s", "t",
-        F.expr(f"substring(__text, greatest(s - {least}, 0) + 1, least(s, {least}))").alias("__left"), F.expr(f"substring(__text, t + 1, {least})").alias("__right"),
+        "head", "doc", F.sha2("__text", 256).alias("copy"), "s", "t",
+        F.expr(f"substring(__text, greatest(s - {least}, 0) + 1, least(s, {least}))").alias("left"), F.expr(f"substring(__text, t + 1, {least})").alias("right"),
     )
-    # what a path lacks of a span must follow on one side by half at least: records meet only where that half is the same
-    lack = F.greatest(F.ceil((F.lit(least) - size) / 2), F.lit(0)).cast("int")
-    side = lambda name, context, part: F.when(F.length(context) >= F.col("__lack"), F.xxhash64(F.lit(name), F.col("head"), part))
-    left = side("left", "__left", F.expr("substring(__left, -__lack, __lack)"))
-    right = F.when(F.col("__lack") > 0, side("right", "__right", F.expr("substring(__right, 1, __lack)")))
-    near = near.withColumn("__lack", lack)
-    near = near.withColumn("__key", F.explode(F.array(left, right))).where(F.col("__key").isNotNull())
-    a, b = near.alias("a"), near.alias("b")
-    pairs = a.join(b, (F.col("a.__key") == F.col("b.__key")) & (F.col("a.head") == F.col("b.head")) & (F.col("a.doc") < F.col("b.doc"))).select(
-        F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b"), F.col("a.s").alias("s"), F.col("a.t").alias("t"), F.col("b.s").alias("b_s"), F.col("b.t").alias("b_t"),
-        _common(F.col("a.__left"), F.col("b.__left"), F.col("a.__right"), F.col("b.__right")).alias("__c"),
+    return stored(near, "near")
+
+
+def _text_spans(near: DataFrame, least: int) -> DataFrame:
+    """(a, b, start_a, end_a, start_b, end_b), a < b: spans that two different texts share; a text counts once, whatever its copies."""
+    size = F.col("t") - F.col("s")
+    once = near.groupBy("head", "copy", "s", "t").agg(F.first("left").alias("left"), F.first("right").alias("right"))
+    # what a path lacks of a span must follow on one side by half at least: texts meet only where that half is the same
+    once = once.withColumn("__lack", F.greatest(F.ceil((F.lit(least) - size) / 2), F.lit(0)).cast("int"))
+    left = F.when(F.length("left") >= F.col("__lack"), F.xxhash64(F.lit("left"), "head", F.expr("substring(left, -__lack, __lack)")))
+    right = F.when((F.col("__lack") > 0) & (F.length("right") >= F.col("__lack")), F.xxhash64(F.lit("right"), "head", F.expr("substring(right, 1, __lack)")))
+    once = once.withColumn("__key", F.explode(F.array(left, right))).where(F.col("__key").isNotNull())
+    a, b = once.alias("a"), once.alias("b")
+    pairs = a.join(b, (F.col("a.__key") == F.col("b.__key")) & (F.col("a.head") == F.col("b.head")) & (F.col("a.copy") < F.col("b.copy"))).select(
+        F.col("a.copy").alias("a"), F.col("b.copy").alias("b"), F.col("a.s").alias("s"), F.col("a.t").alias("t"), F.col("b.s").alias("b_s"), F.col("b.t").alias("b_t"),
+        _common(F.col("a.left"), F.col("b.left"), F.col("a.right"), F.col("b.right")).alias("__c"),
     )
     spans = pairs.where(size + F.col("__c.left") + F.col("__c.right") >= least)
     return spans.select(
-        "doc_a", "doc_b", (F.col("s") - F.col("__c.left")).alias("start_a"), (F.col("t") + F.col("__c.right")).alias("end_a"), (F.col("b_s") - F.col("__c.left")).alias("start_b"), (F.col("b_t") + F.col("__c.right")).alias("end_b")
+        "a", "b", (F.col("s") - F.col("__c.left")).alias("start_a"), (F.col("t") + F.col("__c.right")).alias("end_a"), (F.col("b_s") - F.col("__c.left")).alias("start_b"), (F.col("b_t") + F.col("__c.right")).alias("end_b")
     )
 
 
 def sharing_pairs(df: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
-    """(doc_id_a, doc_id_b): each pair of records with a common span of at least `least` characters, once."""
-    return shared_spans(df, id_col, text_col, least).select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b")).distinct()
+    """(doc_id_a, doc_id_b): each pair of records with a common span of at least `least` characters, once.
+
+    Exact up to collisions of 64-bit hashes of edges. Texts are compared once, whatever their copies; pairs of records
+    are written out only at the end. Case and white space count. Null, empty and short texts give nothing; several
+    rows with one id count as one record.
+    """
+    near = _near(df, id_col, text_col, least)
+    copies = near.select("copy", "doc").distinct()
+    pairs = _text_spans(near, least).select("a", "b").distinct()
+    across = pairs.join(copies.select(F.col("copy").alias("a"), F.col("doc").alias("x")), "a").join(copies.select(F.col("copy").alias("b"), F.col("doc").alias("y")), "b").where(F.col("x") != F.col("y"))
+    within = copies.select("copy", F.col("doc").alias("x")).join(copies.select("copy", F.col("doc").alias("y")), "copy").where(F.col("x") < F.col("y"))
+    both = across.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).unionByName(within.select(F.col("x").alias("doc_id_a"), F.col("y").alias("doc_id_b")))
+    return both.distinct()
 
 
 def shared_share(df: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
-    """One row a record: n_chars, shared_chars, share of its text that also occurs in another record, n_partners.
+    """One row a record: n_chars, shared_chars, share of its text that also occurs in another record, n_copies, n_sharing_texts.
 
-    Null and empty texts have share 0. Several rows with one id count as one record of the longest text.
+    n_copies counts records with the same text, n_sharing_texts other texts that share a span; no pairs of records are
+    made. Texts under `least` characters, null and empty ones share nothing. Several rows with one id count as one
+    record, with the longest text.
     """
-    spans = shared_spans(df, id_col, text_col, least)
-    one = spans.select(F.col("doc_a").alias("doc"), F.col("doc_b").alias("other"), F.col("start_a").alias("s"), F.col("end_a").alias("t"))
-    both = one.unionByName(spans.select(F.col("doc_b").alias("doc"), F.col("doc_a").alias("other"), F.col("start_b").alias("s"), F.col("end_b").alias("t")))
-    partners = both.groupBy("doc").agg(F.count_distinct("other").alias("n_partners"))
-    cover = both.groupBy("doc", "s").agg(F.max("t").alias("t"))
-    before = Window.partitionBy("doc").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    near = _near(df, id_col, text_col, least)
+    copies = near.select("copy", "doc").distinct()
+    number = copies.groupBy("copy").agg((F.count("*") - 1).alias("n_copies"))
+    spans = _text_spans(near, least)
+    one = spans.select(F.col("a").alias("copy"), F.col("b").alias("other"), F.col("start_a").alias("s"), F.col("end_a").alias("t"))
+    both = one.unionByName(spans.select(F.col("b").alias("copy"), F.col("a").alias("other"), F.col("start_b").alias("s"), F.col("end_b").alias("t")))
+    partners = both.groupBy("copy").agg(F.count_distinct("other").alias("n_sharing_texts"))
+    cover = both.groupBy("copy", "s").agg(F.max("t").alias("t"))
+    before = Window.partitionBy("copy").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # no more rows than a text has characters
     reach = F.coalesce(F.max("t").over(before), F.lit(0))
-    covered = cover.withColumn("__new", F.greatest(F.col("t") - F.greatest(F.col("s"), reach), F.lit(0))).groupBy("doc").agg(F.sum("__new").alias("shared_chars"))
+    covered = cover.withColumn("__new", F.greatest(F.col("t") - F.greatest(F.col("s"), reach), F.lit(0))).groupBy("copy").agg(F.sum("__new").alias("shared_chars"))
+    by_text = number.join(covered, "copy", "left").join(partners, "copy", "left")
+    by_doc = copies.join(by_text, "copy").groupBy("doc").agg(F.max("n_copies").alias("n_copies"), F.max("shared_chars").alias("shared_chars"), F.max("n_sharing_texts").alias("n_sharing_texts"))
     docs = df.groupBy(df[id_col].alias("doc")).agg(F.max(F.coalesce(F.length(df[text_col]), F.lit(0))).alias("n_chars"))
-    joined = docs.join(covered, "doc", "left").join(partners, "doc", "left")
     zero: Column = F.lit(0).cast("long")
+    chars = F.when(F.col("n_copies") > 0, F.col("n_chars").cast("long")).otherwise(F.coalesce("shared_chars", zero))
+    joined = docs.join(by_doc, "doc", "left").withColumn("shared_chars", chars)
     return joined.select(
-        F.col("doc").alias(id_col), "n_chars", F.coalesce("shared_chars", zero).alias("shared_chars"), F.when(F.col("n_chars") > 0, F.coalesce("shared_chars", zero) / F.col("n_chars")).otherwise(0.0).alias("share"), F.coalesce("n_partners", zero).alias("n_partners")
+        F.col("doc").alias(id_col), "n_chars", "shared_chars", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(0.0).alias("share"), F.coalesce("n_copies", zero).alias("n_copies"), F.coalesce("n_sharing_texts", zero).alias("n_sharing_texts")
     )
