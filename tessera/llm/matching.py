@@ -51,6 +51,8 @@ _PART = re.compile(r"(?<=[.!?;])\s+(?=[^a-z])|\n\s*\n")
 
 def _folded(text: str) -> str:
     text = _DOTTED.sub(lambda m: m[0].replace(".", "") + " ", text)
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", text).casefold() if not unicodedata.combining(c))
 
 
