@@ -24,6 +24,8 @@ from ..session import stored
 PLACES = 1_048_573
 #: Share of all pairs with a character beyond ASCII that counts as improbable: the rarest by contribution.
 IMPROBABLE = 0.35
+#: Share of all rows that copies of one text count for at most.
+MOST_SHARE = 0.001
 #: Bits that an inverse mapping must gain over a run and its two neighbours.
 MARGIN = 9.0
 #: Score of a pair of ASCII characters in the search for segments; probable and improbable pairs have -1 and +1.
@@ -98,21 +100,37 @@ def place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.int64) * 1_000_003 + b) % PLACES
 
 
+def most_copies(df: DataFrame, text_col: str) -> int:
+    """How often one text may count: MOST_SHARE of all rows, or as many copies as the text of the middle row has, with rows
+    in the order of how many copies their text has. A group of less than half of all rows can't raise either by its copies."""
+    copies = df.where(df[text_col].isNotNull()).groupBy(F.xxhash64(df[text_col]).alias("h")).agg(F.count("*").alias("c"))
+    middle, rows = copies.agg(F.expr("percentile(c, 0.5, c)"), F.sum("c")).first()
+    return int(max(middle or 1, MOST_SHARE * (rows or 0)))
+
+
 def pair_counts(df: DataFrame, text_col: str) -> DataFrame:
-    """(a, b, n): how often neighbouring characters occur where one of them is beyond ASCII. Counted within each task first."""
+    """(a, b, n): how often neighbouring characters occur where one of them is beyond ASCII. Counted within each task first.
+
+    A text counts as often as it has copies, but no more often than `most_copies`: else a garbled text with many
+    copies makes its own pairs probable. For that, df has all rows, those of plain ASCII too.
+    """
+    most = most_copies(df, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            c = np.frombuffer("\n".join(t for t in batch.column(0).to_pylist() if t).encode("utf-32-le"), np.uint32)
+            texts = batch.column(0).to_pylist()
+            c = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+            times = np.repeat(batch.column(1).to_numpy(), [len(t) + 1 for t in texts])
             at = np.flatnonzero((c[:-1] > 127) | (c[1:] > 127)) if len(c) > 1 else np.zeros(0, np.int64)
-            found, n = np.unique((c[at].astype(np.int64) << 32) | c[at + 1], return_counts=True)
+            found, of = np.unique((c[at].astype(np.int64) << 32) | c[at + 1], return_inverse=True)
+            n = np.bincount(of, times[at], len(found)).astype(np.int64)
             keys, inverse = np.unique(np.concatenate((keys, found)), return_inverse=True)
             sizes = np.bincount(inverse, np.concatenate((sizes, n)), len(keys)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(sizes)], names=["a", "b", "n"])
 
-    part = df.where(df[text_col].rlike(r"[^\x00-\x7f]")).select(df[text_col].alias("t")).mapInArrow(count, "a int, b int, n long")
-    return part.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    texts = df.where(df[text_col].rlike(r"[^\x00-\x7f]")).groupBy(df[text_col].alias("t")).agg(F.least(F.count("*"), F.lit(most)).alias("times"))
+    return texts.mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 @dataclass

@@ -48,8 +48,9 @@ def _decoded_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    texts = _decoded_texts(spark, d).where(F.col("text").rlike(r"[^\x00-\x7f]"))
-    scores = encoding.pair_scores(encoding.pair_counts(texts, "text"))
+    rows = _decoded_texts(spark, d)
+    scores = encoding.pair_scores(encoding.pair_counts(rows, "text"))
+    texts = rows.where(F.col("text").rlike(r"[^\x00-\x7f]"))
     return texts.where(encoding.is_garbled(texts, F.col("text"), scores)).select("source_table", "record_id").distinct()
 
 

@@ -139,6 +139,20 @@ def test_repairs(spark):
     assert none.where(encoding.is_garbled(none, F.col("t"), encoding.pair_scores(encoding.pair_counts(none, "t")))).count() == 0
 
 
+def test_copies_of_a_garbled_name(spark):
+    """A garbled name that holds a third of all rows is found and restored, as without its copies."""
+    rng = random.Random(8)
+    words = [w for t in CLEAN[:4] for w in t.rstrip(".").split()]
+    clean = [" ".join(rng.sample(words, 6)) for _ in range(400)]
+    right = "Übergangsfrist für Prüfer"
+    garbled = right.encode("utf-8").decode("cp1252")
+    for copies in (1, 200):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(clean + [garbled] * copies)], "id int, t string")
+        scores = encoding.pair_scores(encoding.pair_counts(df, "t"))
+        assert [r["id"] for r in df.where(encoding.is_garbled(df, F.col("t"), scores)).orderBy("id").collect()] == list(range(400, 400 + copies))
+        assert {r["r"] for r in df.where("id >= 400").select(encoding.restored(df, F.col("t"), scores).alias("r")).collect()} == {right}
+
+
 def test_segments_as_brute_force():
     rng = random.Random(2)
     for _ in range(200):
