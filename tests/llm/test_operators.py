@@ -328,6 +328,21 @@ def test_scanned_texts(spark):
     assert scans.repaired(df.limit(0), ["id"], "text").count() == 0
 
 
+def test_misreadings_at_any_scale(spark):
+    """A misread word is found when all counts are a hundred times as large, and when its text has many copies."""
+    rng = random.Random(9)
+    plain = [" ".join(rng.sample(BODY, 3) + [f"Remark {chr(97 + i % 26)}{chr(97 + i // 26)}k."]) for i in range(120)]
+    bad = plain[0].replace("administrative", "adrninistrative").replace("consequences", "conse quences")
+    for copies in (1, 60):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(plain + [bad] * copies)], "id int, text string")
+        model = scans.train(scans.statistics(df, "text"))
+        for times in (1, 100):
+            more = lambda counts: {k: n * times for k, n in counts.items()}
+            large = scans.Model(more(model.words), more(model.follow), more(model.left), more(model.right), model.total * times, model.place, model.inner, model.outer, more(model.lines))
+            r = scans.Reader(large).read(bad)
+            assert (r.misread, r.split, r.text) == (1, 1, plain[0]), (copies, times)
+
+
 # -- matching --
 
 FILES = [
