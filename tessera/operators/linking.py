@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as X
+from ..session import bounded_rows
 from .joins import alias_in_text
 
+#: Different keys of a register that names are compared with; a larger one is refused.
+MOST_REGISTER = 200_000
+
 
 def link_titles(titles: DataFrame, entries: DataFrame, aliases: DataFrame, id_col: str, title_col: str, day_col: str) -> DataFrame:
     """(record, entry, method, rank, is_primary): links of each title, nearest entry first.
@@ -36,23 +42,57 @@ def link_titles(titles: DataFrame, entries: DataFrame, aliases: DataFrame, id_co
     return first.withColumn("rank", F.row_number().over(near)).select("record", "entry", "method", "rank", (F.col("rank") == 1).alias("is_primary"))
 
 
-def fuzzy_candidates(names: DataFrame, register: DataFrame, name_col: str, reg_name: str, reg_id: str, top: int = 3, floor: float = 60.0) -> DataFrame:
-    """(name, id, score, rank): exact keys score 100, others by edit distance over the longer key.
+def _counts(keys: list[str], q: int) -> np.ndarray:
+    """How often runs of q characters occur in each key; runs may share a place, which only makes keys look more alike."""
+    out = np.zeros((len(keys), 256), np.uint8)
+    for i, k in enumerate(keys):
+        for j in range(len(k) - q + 1):
+            at = ord(k[j]) if q == 1 else (37 * ord(k[j]) + ord(k[j + 1])) % 256
+            out[i, at] += out[i, at] < 255
+    return out
+
+
+def near_keys(key: str, singles: np.ndarray, doubles: np.ndarray, lengths: np.ndarray, floor: float) -> np.ndarray:
+    """Places of all keys that can score `floor` against this one, and some that don't. With d edits to the longer length n,
+    at least n - d characters are common, and n - 1 - 2 d pairs of neighbours."""
+    n = np.maximum(lengths, len(key))
+    edits = np.floor(n * (1 - (floor - 0.001) / 100))
+    at = np.flatnonzero(np.minimum(lengths, len(key)) >= n - edits)
+    at = at[np.minimum(singles[at], _counts([key], 1)).sum(1, dtype=np.int32) >= np.minimum(n - edits, 255)[at]]
+    return at[np.minimum(doubles[at], _counts([key], 2)).sum(1, dtype=np.int32) >= np.minimum(n - 1 - 2 * edits, 255)[at]]
+
 
-    Blocked by shared trigrams of the keys that at most a hundredth of the register has (or ten names), so no pair without one is compared.
+def fuzzy_candidates(names: DataFrame, register: DataFrame, name_col: str, reg_name: str, reg_id: str, top: int = 3, floor: float = 60.0, reg_acronym: str | None = None) -> DataFrame:
+    """(name, id, score, rank): exact keys score 100, a name of up to ten characters that is an acronym 95, others by edit distance over the longer key.
+
+    Every pair that can reach the floor is compared: only lengths and common characters rule pairs out (`near_keys`).
+    The register has at most MOST_REGISTER keys, else the call is refused.
     """
     key = lambda c: F.regexp_replace(F.lower(F.col(c)), "[^a-z0-9]", "")
-    grams = lambda k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(k) - 2, F.lit(1))), lambda i: F.substring(k, i, F.lit(3))))
-    n = names.select(F.col(name_col).alias("name"), key(name_col).alias("k")).where(F.length("k") >= 3).distinct()
+    n = names.select(F.col(name_col).alias("name"), key(name_col).alias("k")).distinct()
     r = register.select(F.col(reg_id).alias("id"), key(reg_name).alias("rk")).where(F.length("rk") >= 3)
-    rg = r.select("id", "rk", F.explode(grams(F.col("rk"))).alias("g"))
-    rare = rg.groupBy("g").agg(F.count("*").alias("c"))
-    size = r.agg(F.greatest(F.count("*") / 100, F.lit(10)).alias("most")).withColumn("one", F.lit(1))
-    rare = rare.withColumn("one", F.lit(1)).join(size, "one").where("c <= most").select("g")
-    pairs = n.select("name", "k", F.explode(grams(F.col("k"))).alias("g")).join(rg.join(rare, "g"), "g").select("name", "k", "id", "rk").distinct()
+    rows = bounded_rows(r.select("rk").distinct(), MOST_REGISTER)
+    if rows is None:
+        raise ValueError(f"the register has more than {MOST_REGISTER} keys")
+    keys = sorted(x["rk"] for x in rows)
+    shared = names.sparkSession.sparkContext.broadcast((_counts(keys, 1), _counts(keys, 2), np.array([len(k) for k in keys], np.int64)))  # bounded by MOST_REGISTER
+
+    @F.pandas_udf("array<int>")
+    def near(batch: pd.Series) -> pd.Series:
+        return pd.Series([near_keys(k, *shared.value, floor).tolist() for k in batch], dtype=object)
+
+    places = names.sparkSession.createDataFrame(list(enumerate(keys)), "place int, rk string")
+    typed = n.where(F.length("k") >= 3)
+    pairs = typed.select("k").distinct().select("k", F.explode(near("k")).alias("place")).join(F.broadcast(places), "place")
     score: Column = F.when(F.col("k") == F.col("rk"), 100.0).otherwise(100.0 * (1 - F.levenshtein("k", "rk") / F.greatest(F.length("k"), F.length("rk"))))
+    pairs = pairs.select("k", "rk", F.round(score, 4).alias("score")).where(F.col("score") >= floor)
+    scored = typed.join(pairs, "k").join(r, "rk").select("name", "id", "score")
+    if reg_acronym:
+        short = register.select(F.col(reg_id).alias("id"), key(reg_acronym).alias("k")).where(F.length("k") > 0)
+        scored = scored.unionByName(n.where(F.length("k") <= 10).join(short, "k").select("name", "id", F.lit(95.0).alias("score")))
+    scored = scored.groupBy("name", "id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("name").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("score", F.round(score, 4)).where(F.col("score") >= floor).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("name", "id", "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("name", "id", "score", "rank")
 
 
 def decision_band(score: Column, accept: float = 96.0, floor: float = 93.0) -> Column:

@@ -28,8 +28,8 @@ def E14_title_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def E08_fuzzy_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Top candidates of every typed name; a test compares blocking with all pairs on a fixture."""
-    out = L.fuzzy_candidates(table(spark, d, "hys_feedback_bronze"), table(spark, d, "organizations"), "organisation_name", "name", "id")
+    """Top candidates of every typed name by edit distance and acronym; a test compares them with all pairs."""
+    out = L.fuzzy_candidates(table(spark, d, "hys_feedback_bronze"), table(spark, d, "organizations"), "organisation_name", "name", "id", reg_acronym="acronym")
     return out.withColumn("band", L.decision_band(F.col("score")))
 
 

@@ -196,3 +196,29 @@ def test_fuzzy_against_all_pairs(spark):
     got = {(r["name"], r["id"]): r["score"] for r in fuzzy_candidates(spark.createDataFrame([(n,) for n in names], "n string"), spark.createDataFrame(reg, "id string, name string"), "n", "name", "id").collect()}
     assert got["alpine network", "0"] == 100 and got["Carpathian Unoin", "2"] > 80 and got["Zeta Makers", "4"] == 100 and got["Zeta Makers", "5"] == 90.0 and got["Foo", "3"] == 100
     assert spark.range(1).select(decision_band(F.lit(95.0)).alias("b")).first()["b"] == "to_decider"
+
+
+def test_fuzzy_keeps_pairs_of_common_trigrams(spark):
+    """Every pair at the floor by real all-pairs, where all trigrams are common; and acronyms."""
+    import random
+    import re
+
+    from tessera.operators.linking import fuzzy_candidates
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(3)
+    words = ["European", "Network", "Union", "Makers", "Alpine", "Energy"]
+    reg = [(str(i), " ".join(rng.sample(words, rng.randint(1, 3))), f"A{i}X") for i in range(150)]
+    names = sorted({"".join(c for c in " ".join(rng.sample(words, rng.randint(1, 3))) if rng.random() > 0.15) for _ in range(60)}) + ["a.7.x."]
+    key = lambda x: re.sub("[^a-z0-9]", "", x.lower())
+    want = {(n, i): round(100 * (1 - edits(key(n), key(r)) / max(len(key(n)), len(key(r)))), 4) for n in names for i, r, _ in reg}
+    want = {p: s for p, s in want.items() if s >= 60} | {("a.7.x.", "7"): 95.0}
+    df = fuzzy_candidates(spark.createDataFrame([(n,) for n in names], "n string"), spark.createDataFrame(reg, "id string, name string, acronym string"), "n", "name", "id", top=1000, reg_acronym="acronym")
+    assert {(r["name"], r["id"]): r["score"] for r in df.collect()} == want
