@@ -26,7 +26,7 @@ from .names import allowed, deletes, slips
 from .scans import skip_gram
 
 #: Rows of the register (its index is broadcast), and texts that take part in the walks.
-MOST_REGISTER, WALK_TEXTS = 100_000, 2_000
+MOST_REGISTER, WALK_TEXTS = 100_000, 2_000  # the texts that all of them together weigh as in the walks
 WIDTH, WALKS, STEPS, NEAR = 32, 8, 6, 3
 TABLES, BITS = 12, 10
 LEAST_COSINE, LEAST_CONFIDENCE = 0.75, 0.5
@@ -86,35 +86,44 @@ class Phrase:
     vector: np.ndarray | None = None
 
 
+def phrases_of(entries: list[tuple[str, str | None, str | None]], aliases: list[tuple[str, str]]) -> tuple[list[Phrase], list[tuple[str, str]]]:
+    """The phrases of a register, and (concept key, entry)."""
+    concepts: dict[str, set[str]] = defaultdict(set)  # phrase -> products or rules
+    kinds: dict[str, str] = {}
+    about: list[tuple[str, str]] = []
+    for id_, title, description in entries:
+        both = subject_of(title)
+        if not both:
+            continue
+        about.append((f"{both[0]}|{both[1]}", id_))
+        for kind, main in (("p", both[0]), ("r", both[1])):
+            for k, phrase in [(kind, main), *wordings(description)]:
+                if k == kind and phrase:
+                    concepts[f"{kind} {phrase}"].add(main)
+                    kinds[f"{kind} {phrase}"] = kind
+    for id_, alias in aliases:
+        if words := " ".join(_tokens(alias)):
+            concepts[f"a {words}"].add(f"={words}")
+            kinds[f"a {words}"] = "a"
+            about.append((f"={words}", id_))
+    return [Phrase(kinds[k], k[2:], tuple(sorted(v))) for k, v in sorted(concepts.items())], about
+
+
+def vocabulary_of(phrases: list[Phrase]) -> list[str]:
+    return sorted({t for p in phrases for t in p.text.split()})
+
+
 class Index:
     """Phrases of the register with their vectors and hyperplane tables; what a text names is looked up here."""
 
-    def __init__(self, entries: list[tuple[str, str | None, str | None]], aliases: list[tuple[str, str]], texts: list[str], seed: int = 17):
-        concepts: dict[str, set[str]] = defaultdict(set)  # phrase -> products or rules
-        kinds: dict[str, str] = {}
-        self.about: list[tuple[str, str]] = []  # (concept key, entry)
-        for id_, title, description in entries:
-            both = subject_of(title)
-            if not both:
-                continue
-            self.about.append((f"{both[0]}|{both[1]}", id_))
-            for kind, main in (("p", both[0]), ("r", both[1])):
-                for k, phrase in [(kind, main), *wordings(description)]:
-                    if k == kind and phrase:
-                        concepts[f"{kind} {phrase}"].add(main)
-                        kinds[f"{kind} {phrase}"] = kind
-        for id_, alias in aliases:
-            if words := " ".join(_tokens(alias)):
-                concepts[f"a {words}"].add(f"={words}")
-                kinds[f"a {words}"] = "a"
-                self.about.append((f"={words}", id_))
-        self.phrases = [Phrase(kinds[k], k[2:], tuple(sorted(v))) for k, v in sorted(concepts.items())]
-        self.vocabulary = sorted({t for p in self.phrases for t in p.text.split()})
+    def __init__(self, entries: list[tuple[str, str | None, str | None]], aliases: list[tuple[str, str]], near: list[tuple[str, str, float]], seed: int = 17):
+        self.phrases, self.about = phrases_of(entries, aliases)
+        self.vocabulary = vocabulary_of(self.phrases)
         self.by_deletes: dict[str, list[str]] = defaultdict(list)
         for w in self.vocabulary:
             for d in deletes(w, allowed(w)):
                 self.by_deletes[d].append(w)
-        self._walk(entries, texts, seed)
+        self._walk(near, seed)
         self._hash(seed)
         self._calibrate(seed)
         self.memory: dict[str, tuple[Phrase, float] | None] = {}
@@ -122,8 +131,8 @@ class Index:
 
     # -- vectors --
 
-    def _walk(self, entries: list[tuple[str, str | None, str | None]], texts: list[str], seed: int) -> None:
-        """Walks over entries, texts, phrases, tokens and trigrams; their neighbourhoods train the vectors."""
+    def _walk(self, near: list[tuple[str, str, float]], seed: int) -> None:
+        """Walks over entries, phrases, tokens, trigrams and, through texts, from token to token; their neighbourhoods train the vectors."""
         links: dict[str, set[str]] = defaultdict(set)
 
         def link(a: str, b: str) -> None:
@@ -140,23 +149,24 @@ class Index:
             for c in concept.split("|") if not concept.startswith("=") else [concept]:
                 for a in by_concept[c]:
                     link(f"record {id_}", a)
-        known = set(self.vocabulary)
-        for n, text in enumerate(texts):
-            for t in set(_tokens(text)) & known - _STOP:
-                link(f"text {n}", f"token {t}")
         for t in self.vocabulary:
             for g in _trigrams(t):
                 link(f"token {t}", f"gram {g}")
+        weights = {x: dict.fromkeys(ys, 1.0) for x, ys in links.items()}
+        for a, b, w in near:
+            weights[f"token {a}"][f"token {b}"] = w
         nodes = sorted(links)
         self.place = {x: i for i, x in enumerate(nodes)}
-        around = [sorted(self.place[y] for y in links[x]) for x in nodes]
-        degree, first = np.array([len(x) for x in around]), np.concatenate(([0], np.cumsum([len(x) for x in around])))
-        flat = np.array([y for x in around for y in x], np.int64)
+        around = [sorted((self.place[y], w) for y, w in weights[x].items()) for x in nodes]
+        first = np.concatenate(([0], np.cumsum([len(x) for x in around]))).astype(np.int64)
+        flat = np.array([y for x in around for y, _ in x], np.int64)
+        sums = np.concatenate(([0.0], np.cumsum([w for x in around for _, w in x])))
         rng = np.random.default_rng(seed)
         at = np.repeat(np.arange(len(nodes)), WALKS)
         walks = [at]
         for _ in range(STEPS if len(nodes) else 0):  # all walks take each step together
-            at = flat[first[at] + (rng.random(len(at)) * degree[at]).astype(np.int64)]
+            lo, hi = first[at], first[at + 1]
+            at = flat[(np.searchsorted(sums, sums[lo] + rng.random(len(at)) * (sums[hi] - sums[lo]), side="right") - 1).clip(lo, hi - 1)]
             walks.append(at)
         pairs = [walks[i] * len(nodes) + walks[j] for i in range(len(walks)) for j in range(max(0, i - NEAR), i)]
         codes, n = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -356,14 +366,43 @@ def _slipped(text: str, rng: np.random.Generator) -> str:
     return [text[:i] + text[i + 1 :], text[:i] + text[i : i + 1] + text[i:], text[:i] + text[i + 1 : i + 2] + text[i : i + 1] + text[i + 2 :], text[:i] + "aeions"[int(rng.integers(6))] + text[i + 1 :]][int(rng.integers(4))]
 
 
-def build_index(register: DataFrame, aliases: DataFrame, texts: DataFrame, text_col: str, id_col: str = "id") -> Index:
-    """An index of a register of bounded size; at most WALK_TEXTS texts, chosen by hash, take part in the walks."""
+def token_links(texts: DataFrame, text_cols: list[str], vocabulary: list[str]) -> list[tuple[str, str, float]]:
+    """(token, token, weight): how a walk gets from token to token through the distinct texts of all rows, where it leaves a
+    text by any of its tokens alike. All texts together weigh as WALK_TEXTS would, however many they are. Counted within
+    each task first; no more pairs than the vocabulary, which is bounded with the register, has."""
+    known = {t: i for i, t in enumerate(t for t in vocabulary if t not in _STOP)}
+    names, size = list(known), len(known)
+    shared = texts.sparkSession.sparkContext.broadcast(known)  # bounded with the register
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        codes, sums, n = np.zeros(0, np.int64), np.zeros(0), 0
+        for batch in batches:
+            found, shares = [codes], [sums]
+            for text in batch.iloc[:, 0]:
+                if at := sorted({known[t] for t in _tokens(text) if t in known}):
+                    n += 1
+                    i = np.array(at, np.int64)
+                    found.append((i[:, None] * size + i).ravel())
+                    shares.append(np.full(len(i) ** 2, 1 / len(i)))
+            codes, inverse = np.unique(np.concatenate(found), return_inverse=True)
+            sums = np.bincount(inverse, np.concatenate(shares), len(codes))
+        yield pd.DataFrame({"code": np.append(codes, -1), "w": np.append(sums, float(n))})
+
+    each = texts.select(F.explode(F.array(*[F.col(c) for c in text_cols])).alias("t")).where(F.length("t") > 0).distinct()
+    got = each.mapInPandas(run, "code long, w double").groupBy("code").agg(F.sum("w").alias("w")).orderBy("code").toPandas()
+    total = float(got["w"].iloc[0]) if len(got) else 0.0
+    return [(names[c // size], names[c % size], w * WALK_TEXTS / total) for c, w in zip(got["code"].tolist(), got["w"].round(9).tolist()) if c >= 0]
+
+
+def build_index(register: DataFrame, aliases: DataFrame, texts: DataFrame, *text_cols: str) -> Index:
+    """An index of a register of bounded size; the texts of all rows take part in the walks."""
     entries = bounded_rows(register.select("id", "title", "description").where(F.col("id").isNotNull()), MOST_REGISTER)
     names = bounded_rows(aliases.select("procedure_id", "alias").where(F.col("alias").isNotNull() & F.col("procedure_id").isNotNull()), 10 * MOST_REGISTER)
     if entries is None or names is None:
         raise ValueError(f"the register has more than {MOST_REGISTER} entries")
-    some = texts.where(F.length(text_col) > 0).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t")).orderBy("h", "t").limit(WALK_TEXTS).collect()
-    return Index([tuple(r) for r in sorted(entries)], sorted((r[0], r[1]) for r in names), [r[1] for r in some])
+    rows, pairs = [tuple(r) for r in sorted(entries)], sorted((r[0], r[1]) for r in names)
+    return Index(rows, pairs, token_links(texts, list(text_cols), vocabulary_of(phrases_of(rows, pairs)[0])))
 
 
 _INDEXES: dict[str, Index] = {}

@@ -27,7 +27,7 @@ def _matched(spark: SparkSession, d: str) -> DataFrame:
     """Meetings with the files they dealt with; the minutes are read without the traces of their pages."""
     meetings, register = table(spark, d, "commission_meetings"), table(spark, d, "legal_procedures")
     model = scans.train(scans.statistics(_minutes(spark, d).select("text"), "text"))
-    index = matching.build_index(register, table(spark, d, "procedure_aliases"), meetings, "subject")
+    index = matching.build_index(register, table(spark, d, "procedure_aliases"), meetings, "subject", "points_raised")
     narrow = meetings.select("id", "subject", "meeting_date", "points_raised")
     narrow = narrow.withColumn("points_raised", F.when(F.length("points_raised") > 0, scans.readings(narrow, F.col("points_raised"), model)["text"]))
     return matching.match(narrow, register, index, "id", "subject", "points_raised", "meeting_date")

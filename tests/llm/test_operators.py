@@ -392,6 +392,18 @@ def test_blocking_recall():
     assert total and found / total >= 0.9
 
 
+def test_links_of_all_texts(spark):
+    """Walks pass through the texts of all rows and both fields, with shares that don't depend on how many rows there are."""
+    vocabulary = ["bikes", "cargo", "heat", "labels", "pumps", "repair"]
+    for most in (40, 3000):
+        rows = [(i, f"cargo bikes {i}", f"labels for heat pumps {i}" if i % 2 else None) for i in range(most)] + [(most, "repair cargo", "")] * 5
+        df = spark.createDataFrame(rows, "id int, subject string, points string")
+        got = {(a, b): w for a, b, w in matching.token_links(df, ["subject", "points"], vocabulary)}
+        n = most + most / 2 + 1
+        want = {(a, b): matching.WALK_TEXTS / n * (most / 2 * (a in vocabulary[:2] and b in vocabulary[:2]) + most / 6 * (a in vocabulary[2:5] and b in vocabulary[2:5]) + 0.5 * (a in ("cargo", "repair") and b in ("cargo", "repair"))) for a in vocabulary for b in vocabulary}
+        assert got == pytest.approx({k: w for k, w in want.items() if w})
+
+
 def test_label_writings(spark):
     cases = {"EN": "en", "en-GB": "en", "el_GR": "el", "English (UK)": "en", " deutsch ": "de", "Français": "fr", "ΕΛΛΗΝΙΚΆ": "el", "POR": "pt", "und": None, "XX": None, "?": None, "": None, "unknown": None, None: None}
     rows = spark.createDataFrame([(k,) for k in cases], "x string").select("x", language.label_code(F.col("x")).alias("c")).collect()
