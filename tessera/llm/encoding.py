@@ -265,29 +265,8 @@ class Repairer:
         return out
 
     def garbled(self, texts: list[str | None]) -> np.ndarray:
-        """Which texts have a garbled run. The runs with an improbable pair (segments begin and end with one) are found for all texts at once."""
-        filled = [t or "" for t in texts]
-        joined = "\n".join(filled) + "\n"
-        c = np.frombuffer(("\n" + joined).encode("utf-32-le"), np.uint32)
-        beyond = c > 127
-        bad = np.zeros(len(filled), bool)
-        edges = np.flatnonzero(beyond[1:] != beyond[:-1]) + 1
-        if not len(edges):
-            return bad
-        starts, ends = edges[0::2], edges[1::2]  # the text begins and ends with a line break
-        at = np.flatnonzero(beyond[:-1] | beyond[1:])
-        pairs = self.scores.improbable[place(c[at], c[at + 1])] | (c[at] == 0xFFFD)
-        counted = np.concatenate(([0], np.cumsum(pairs)))
-        suspect = counted[np.searchsorted(at, ends)] > counted[np.searchsorted(at, starts - 1)]
-        offsets = np.cumsum([0, *(len(t) + 1 for t in filled)])
-        s, e = starts[suspect] - 1, ends[suspect] - 1
-        owner = np.searchsorted(offsets, s, side="right") - 1
-        best = self.best
-        for i, a, b in zip(owner.tolist(), s.tolist(), e.tolist()):
-            if not bad[i]:
-                run = joined[a:b]
-                bad[i] = LOST in run or best(joined[a - 1] if a else "\n", run, joined[b])[1] > MARGIN
-        return bad
+        """Which texts have a garbled run, by the same segments as `repair`."""
+        return np.array([bool(t) and not t.isascii() and bool(self.repair(t)) for t in texts], bool)
 
     def restored(self, text: str) -> str:
         for s, e, new, _, _ in reversed(self.repair(text)):

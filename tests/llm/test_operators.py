@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +154,21 @@ def test_copies_of_a_garbled_name(spark):
         assert {r["r"] for r in df.where("id >= 400").select(encoding.restored(df, F.col("t"), scores).alias("r")).collect()} == {right}
 
 
+def test_found_as_passages(spark):
+    """A text counts as garbled if and only if it has a garbled passage; a lone ellipsis has none."""
+    rng = random.Random(12)
+    some = [" ".join(rng.sample([w for t in CLEAN[:4] for w in t.split()], 5)) for _ in range(200)]
+    texts = some + [t.encode("utf-8").decode("cp1252", "replace") for t in some[:40]] + ["…", "\ufffd", "é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    scores = encoding.pair_scores(encoding.pair_counts(df, "t"))
+    repairer = encoding.Repairer(scores)
+    assert repairer.garbled(texts).tolist() == [bool(repairer.repair(t)) for t in texts]
+    scores = encoding.Scores(*[x.copy() if hasattr(x, "copy") else x for x in (scores.bits, scores.improbable, scores.unseen)])
+    scores.bits[encoding.place(*(np.array([x]) for x in (10, ord("…"))))] = -40.0  # an edge that is hardly ever seen
+    scores.improbable[encoding.place(*(np.array([x]) for x in (10, ord("…"))))] = True
+    assert encoding.Repairer(scores).garbled(["…"]).tolist() == [False] and encoding.Repairer(scores).repair("…") == []
+
+
 def test_segments_as_brute_force():
     rng = random.Random(2)
     for _ in range(200):
