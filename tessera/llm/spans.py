@@ -65,7 +65,7 @@ def _powers(n: int) -> np.ndarray:
 
 
 def edges_of(texts: list[str], k: int, w: int, least: int) -> tuple[np.ndarray, ...]:
-    """(text's number, hash, start, end, left, right) of every edge of some texts, in order. Runs of one edge are kept by their ends.
+    """(text's number, hash, start, end, left, right) of every edge of some texts, in order. Runs of one edge are kept by two edges at each end.
 
     left and right are hashes of half of what the edge lacks of `least` characters, before and behind it; 0 where the
     text has no such half. A longer edge lacks nothing: its left is 1 and its right 0.
@@ -99,7 +99,9 @@ def edges_of(texts: list[str], k: int, w: int, least: int) -> tuple[np.ndarray,
         a, b, own = at[:-1][same], at[1:][same] + k, owner[:-1][same]
         e = _mixed((sums[b] - sums[a]) * back[a]) + (b - a).astype(np.uint64)
         repeat = (e[1:] == e[:-1]) & (own[1:] == own[:-1])
-        inner = np.concatenate((repeat, [False])) & np.concatenate(([False], repeat))
+        ahead = np.concatenate((repeat, [False]))  # the next edge is the same
+        after_ = np.concatenate(([False], repeat))
+        inner = ahead & np.append(ahead[1:], False) & after_ & np.append(False, after_[:-1])
         keep = ~inner
         own, a, b, e = own[keep], a[keep], b[keep], e[keep]
         half = np.maximum((least - (b - a) + 1) // 2, 0)

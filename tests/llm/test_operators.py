@@ -295,6 +295,21 @@ def test_spans_as_brute_force(spark):
     assert spans.sharing_pairs(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_spans_in_periodic_text(spark):
+    """Periodic runs little longer than a span, with other phases than the long runs that hold them."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for j in range(60):
+        period = rng.randint(2, 80)
+        unit = noise(period)
+        long = (unit * 2000)[rng.randrange(period) :][: rng.randint(900, 1500)]
+        at, size = rng.randrange(period), rng.randint(301, 300 + period)
+        rows += [(2 * j, noise(200) + long + noise(200)), (2 * j + 1, noise(200) + (unit * 400)[at : at + size] + noise(200))]
+    got = {tuple(sorted(r[:2])) for r in spans.sharing_pairs(spark.createDataFrame(rows, "d int, t string"), "d", "t").collect()}
+    assert got == {(2 * j, 2 * j + 1) for j in range(60)}
+
+
 # -- scans --
 
 BODY = ["The representatives explained the administrative consequences of the implementation calendar, and thanked the services for their availability.", "Participants discussed the competitiveness of medium-sized manufacturers, without prejudice to the position of its membership.", "The organisation recalled the harmonisation of enforcement practices across the Member States, and offered to supply further documentation."]
