@@ -39,8 +39,10 @@ class Hints:
 
 
 def register_hints(register: DataFrame, name_col: str = "name", type_col: str = "organization_type", person_type: str = "self_employed") -> Hints:
-    """Hints from a register of bounded size; a larger one, or one with too many different words, gives none."""
-    rows = bounded_rows(register.select(F.col(name_col), F.col(type_col)).where(F.col(name_col).isNotNull()), MOST_REGISTER) or []
+    """Hints from a register of bounded size; a larger one, or one with too many different words, is refused."""
+    rows = bounded_rows(register.select(F.col(name_col), F.col(type_col)).where(F.col(name_col).isNotNull()), MOST_REGISTER)
+    if rows is None:
+        raise ValueError(f"the register has more than {MOST_REGISTER} rows")
     given, around = set(), set()
     for name, kind in rows:
         words = name.lower().split()
@@ -48,7 +50,9 @@ def register_hints(register: DataFrame, name_col: str = "name", type_col: str =
             given.add(words[0])
         parts = [p.strip() for p in name.lower().split(",")]
         around |= {(a.split()[-1], b.split()[0]) for a, b in zip(parts, parts[1:]) if a and b}
-    return Hints(sorted(given)[:MOST_WORDS], sorted(around)[:MOST_WORDS])
+    if max(len(given), len(around)) > MOST_WORDS:
+        raise ValueError(f"the register has more than {MOST_WORDS} given names or words around commas")
+    return Hints(sorted(given), sorted(around))
 
 
 def _last(a: Column) -> Column:

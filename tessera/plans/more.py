@@ -303,7 +303,12 @@ def X01_count_regression(spark: SparkSession, d: str) -> DataFrame:
     """Aligned items of each organisation on log meetings, by negative binomial regression over the aggregated rows."""
     import numpy as np
 
-    rows = A.organisation_level(_dyads(spark, d), "org", "label", "item", "meetings").select("n_aligned", "n_rows", "n_items").orderBy("org").limit(1_000_000).collect()
+    from ..session import bounded_rows
+
+    level = A.organisation_level(_dyads(spark, d), "org", "label", "item", "meetings")
+    rows = bounded_rows(level.select("n_aligned", "n_rows", "n_items").orderBy("org"), 1_000_000)
+    if rows is None:
+        raise ValueError("more than 1000000 organisations")
     y, n, items = (np.array([float(r[i]) for r in rows]) for i in range(3))
     fit = S.negative_binomial(y, np.log(np.maximum(n, 1))[:, None], items)
     out = [("intercept", float(fit["coefficients"][0]), float(fit["rate_ratios"][0])), ("log_rows", float(fit["coefficients"][1]), float(fit["rate_ratios"][1])), ("alpha", float(fit["alpha"]), None), ("pseudo_r2", float(fit["pseudo_r2"]), None)]
@@ -316,6 +321,8 @@ def X03_bootstrap_f1(spark: SparkSession, d: str) -> DataFrame:
     from ..session import bounded_rows
 
     e = table(spark, d, "embeddings").select((F.col("label") < 4).alias("t"), ((F.col("label") + F.col("vec_id") % 3) < 4).alias("p")).orderBy("vec_id")
-    rows = bounded_rows(e, 100_000) or []
+    rows = bounded_rows(e, 100_000)
+    if rows is None:
+        raise ValueError("the gold set has more than 100000 rows")
     low, high = S.bootstrap_f1([r[0] for r in rows], [r[1] for r in rows], 500)
     return spark.createDataFrame([(len(rows), low, high)], "n int, low double, high double")

@@ -70,3 +70,17 @@ def test_hints(spark):
 def test_register_without_rows(spark, n):
     reg = spark.createDataFrame([("Foo", "company")] * n, "name string, organization_type string")
     assert register_hints(reg).given == []
+
+
+def test_hints_of_too_large_registers(spark, monkeypatch):
+    import pytest
+
+    from tessera.operators import packed
+
+    register = spark.createDataFrame([("Foo, Bar", "company"), ("Moo, Baz", "company")], "name string, organization_type string")
+    assert len(packed.register_hints(register).around) == 2
+    for bound in ("MOST_REGISTER", "MOST_WORDS"):
+        with monkeypatch.context() as m:
+            m.setattr(packed, bound, 1)
+            with pytest.raises(ValueError):
+                packed.register_hints(register)
