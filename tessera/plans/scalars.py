@@ -34,10 +34,10 @@ def C03_name_keys(spark: SparkSession, d: str) -> DataFrame:
     return _names(spark, d).select("id", X.name_key(F.col("name")).alias("strict"), X.display_key(F.col("name")).alias("light"), F.array_join(X.search_variants(F.col("name")), "|").alias("variants"), X.clean_name(F.col("name")).alias("clean"))
 
 
-_FILLER = "|".join(X.FILLERS.values()).replace("'", "''")
+_FILLER = X.FILLER.replace("'", "''")
 
 
-@query(f"""SELECT DISTINCT id, regexp_replace(subject, '(?i)^(?:{_FILLER})', '') AS s FROM commission_meetings WHERE subject IS NOT NULL""")
+@query(f"""SELECT DISTINCT id, regexp_replace(subject, '{_FILLER}', '') AS s FROM commission_meetings WHERE subject IS NOT NULL""")
 def C10_without_filler(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "commission_meetings").where(F.col("subject").isNotNull())
     return m.select("id", X.without_filler(F.col("subject")).alias("s")).distinct()
