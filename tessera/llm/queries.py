@@ -68,7 +68,7 @@ def _minutes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = scans.repaired(_minutes(spark, d), ["meeting_id", "field"], "text")
+    found = scans.repaired(_minutes(spark, d), ["meeting_id", "field"], "text", texts=False)
     return found.where(F.col("broken") + F.col("misread") + F.col("split") + F.col("furniture") > 0).select("meeting_id", "field").distinct()
 
 
