@@ -44,9 +44,13 @@ _DOTTED = re.compile(r"\b(?:[^\W\d_]\.){3,}")
 _PART = re.compile(r"(?<=[.!?;])\s+(?=[^a-z])|\n\s*\n")
 
 
+_PLAIN = str.maketrans("’‘´“”„«»–—‐‑…•\u00a0", "'''\"\"\"\"\"----.* ")
+
+
 def _folded(text: str) -> str:
-    text = _DOTTED.sub(lambda m: m[0].replace(".", "") + " ", text)
-    if text.isascii():
+    if text.count(".") >= 3:
+        text = _DOTTED.sub(lambda m: m[0].replace(".", "") + " ", text)
+    if text.isascii() or (text := text.translate(_PLAIN)).isascii():  # marks say nothing here
         return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", text).casefold() if not unicodedata.combining(c))
 

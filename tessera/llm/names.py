@@ -12,10 +12,10 @@ import math
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bounded_rows
@@ -151,10 +151,22 @@ class Lexicon:
         self.vocabulary = set(self.bodies)
         self.by_deletes: dict[str, list[str]] = defaultdict(list)
         self.by_prefix: dict[str, list[str]] = defaultdict(list)
-        for w in self.vocabulary:
+        self.by_first: dict[str, list[str]] = defaultdict(list)
+        self.by_ends: dict[str, list[str]] = defaultdict(list)
+        for w in sorted(self.vocabulary):
             for d in deletes(w, allowed(w)):
                 self.by_deletes[d].append(w)
             self.by_prefix[w[:2]].append(w)
+            self.by_first[w[0]].append(w)
+            self.by_ends[w[0] + w[-1]].append(w)
+        self.by_begin: dict[int, dict[str, list[str]]] = {}
+        self.given_by_first: dict[str, list[str]] = defaultdict(list)
+        for g in sorted(self.given):
+            self.given_by_first[g[0]].append(g)
+        self.near_acronyms: dict[str, list[str]] = defaultdict(list)
+        for a in sorted(self.acronyms):
+            for d in deletes(a, 1):
+                self.near_acronyms[d].append(a)
         self.formal: dict[str, set[str]] = defaultdict(set)
         for formal, nicks in NICKNAMES.items():
             for n in nicks.split():
@@ -186,9 +198,8 @@ class Lexicon:
         put(word, COST["same"])
         if word not in self.vocabulary:
             if len(word) == 1:
-                for g in self.given:
-                    if g[0] == word:
-                        put(g, COST["initial"])
+                for g in self.given_by_first.get(word, ()):
+                    put(g, COST["initial"])
             for f in self.formal.get(word, ()):
                 put(f, COST["nick"])
             if word in SHORT:
@@ -199,13 +210,12 @@ class Lexicon:
                     if len(w) > len(word) + 1 and w.startswith(word) and (dotted or len(word) >= 4):
                         put(w, COST["short"])
                 if vowels <= max(1, len(word) // 4):
-                    for w in self.vocabulary:
-                        if len(w) >= len(word) + 2 and w[0] == word[0] and (w[-1] == word[-1] or dotted and len(word) >= 4) and _subsequence(word, w):
+                    for w in self.by_first.get(word[0], ()) if dotted and len(word) >= 4 else self.by_ends.get(word[0] + word[-1], ()):
+                        if len(w) >= len(word) + 2 and _subsequence(word, w):
                             put(w, COST["short"] + 0.5)
-                if dotted and not out:
-                    for w in self.vocabulary:  # a short writing with a slip in it
-                        if len(word) >= 4 and len(w) > len(word) + 1 and slips(word, w[: len(word)], 1) <= 1:
-                            put(w, COST["short"] + COST["slip"])
+                if dotted and not out and len(word) >= 4:
+                    for w in self.beginning(word):  # a short writing with a slip in it
+                        put(w, COST["short"] + COST["slip"])
             for w, n in self.near(word).items():
                 put(w, n * COST["slip"])
         if len(self.readings) > self.memory:
@@ -213,6 +223,18 @@ class Lexicon:
         self.readings[token] = out
         return out
 
+    def beginning(self, word: str) -> set[str]:
+        """Words that are longer by two letters at least and begin like a word, with one slip; through an index for each length of beginning."""
+        size = len(word)
+        if size not in self.by_begin:
+            index: dict[str, list[str]] = defaultdict(list)
+            for w in self.vocabulary:
+                if len(w) > size + 1:
+                    for d in deletes(w[:size], 1):
+                        index[d].append(w)
+            self.by_begin[size] = index
+        return {w for d in deletes(word, 1) for w in self.by_begin[size].get(d, ()) if slips(word, w[:size], 1) <= 1}
+
     def splits(self, token: str) -> list[list[str]]:
         """The token as two, where a space is missing."""
         word = token.rstrip(".")
@@ -264,9 +286,8 @@ class Lexicon:
                     for key, cost in {**self.relaxed(option), **(self.matches(option) if option is not tokens else {})}.items():
                         put(" ".join(key), cost + COST["slip"], legal)
             if not found and len(squeezed) >= 6 and len(tokens) == 1:
-                for a, n in ((a, slips(squeezed, a, 1)) for a in self.acronyms if abs(len(a) - len(squeezed)) <= 1):
-                    if n <= 1:
-                        put("=" + a, COST["acronym"] + 2 * COST["slip"], None)
+                for a in {a for d in deletes(squeezed, 1) for a in self.near_acronyms.get(d, ()) if slips(squeezed, a, 1) <= 1}:
+                    put("=" + a, COST["acronym"] + 2 * COST["slip"], None)
         out = [(f, c, x) for f, (c, x) in found.items()]
         if len(self.answers) > self.memory:
             self.answers.clear()
@@ -287,7 +308,11 @@ class Lexicon:
             return out
         words = [t.rstrip(".") for t in tokens]
         read = [self.read(t) for t in tokens]
-        seen = {k for r in read for w in r for k in self.bodies[w] if len(self.bodies[w]) <= 400}
+        # a key that counts has a word of its own, or all tokens but one are words of it: then one of any two tokens is
+        held = [sum(len(self.bodies[w]) for w in r) for r in read]
+        rarest = sorted(range(len(read)), key=held.__getitem__)[:2]
+        seen = {self.bodies[w][0] for r in read for w in r if len(self.bodies[w]) == 1}
+        seen |= {k for i in rarest for w in read[i] for k in self.bodies[w]}
         for k in seen:
             key = self.keys[k]
             if len(key) != len(tokens):
@@ -381,14 +406,13 @@ def lexicon(register: DataFrame, id_col: str = "id", name_col: str = "name", acr
     return Lexicon([(r[0], r[1], r[2]) for r in rows], {r[0] for r in rows if r[3] == person_type})
 
 
-def link(names: DataFrame, keys: list[str], name_col: str, lex: Lexicon, evidence_col: str | None = None, restored_col: str | None = None) -> DataFrame:
-    """The body that each name stands for: keys, name, body, form, score (bits); names of no body give no row.
+def candidates(names: DataFrame, name_col: str, lex: Lexicon, text_col: str | None = None) -> DataFrame:
+    """(name, body, form, score): every body that a distinct name can stand for, with its best form; `text_col` is
+    what is read in its place. Score: the form's rarity less the costs of the rewriting, less 2 where both have a legal
+    form and they differ. Null, empty and senseless names give no row.
 
-    Every name is rewritten where it lies (a narrow pass), its forms are exploded and equi-joined with the register's
-    forms (a table bounded with the register). Score: the form's rarity less the costs of the rewriting, less 2 where
-    both have a legal form and they differ; a register id in `evidence_col` decides between bodies that share a form.
-    If two bodies still score the same, the name stands for neither. Null, empty and senseless names give no row;
-    rows repeated in full come out once.
+    Each name is rewritten where it lies, its forms are exploded and equi-joined with the register's forms (a table
+    bounded with the register).
     """
     spark = names.sparkSession
     shared = spark.sparkContext.broadcast(lex)
@@ -399,14 +423,29 @@ def link(names: DataFrame, keys: list[str], name_col: str, lex: Lexicon, evidenc
         for batch in batches:
             yield pd.Series([[] if not n else lex.rewritings(n) for n in batch], dtype=object)
 
-    text = names[restored_col] if restored_col else names[name_col]
-    told = names[evidence_col] if evidence_col else F.lit(None).cast("string")
-    rows = names.select(*[names[k] for k in keys], names[name_col].alias("__name"), told.alias("__told"), F.explode(rewrite(text)).alias("__w")).select(*keys, "__name", "__told", "__w.*")
+    rows = names.select(names[name_col].alias("name"), F.explode(rewrite(names[text_col or name_col])).alias("__w")).select("name", "__w.*")
     forms = spark.createDataFrame(lex.register_forms(), "form string, body string, its_legal string, rarity double")
     scored = rows.join(F.broadcast(forms), "form").withColumn(  # as many rows as the register, which is bounded
-        "score", F.col("rarity") - 2 * F.col("cost") - F.when(F.col("legal") != F.col("its_legal"), 2.0).when(F.col("legal").isNull() & F.col("its_legal").isNotNull(), 0.2).otherwise(0.0) + F.when(F.col("body") == F.col("__told"), 8.0).otherwise(0.0)
+        "score", F.col("rarity") - 2 * F.col("cost") - F.when(F.col("legal") != F.col("its_legal"), 2.0).when(F.col("legal").isNull() & F.col("its_legal").isNotNull(), 0.2).otherwise(0.0)
     )
-    by_body = scored.groupBy(*keys, "__name", "body").agg(F.max("score").alias("score"), F.max_by("form", "score").alias("form"))
-    best = by_body.groupBy(*keys, "__name").agg(F.max(F.struct("score", "body", "form")).alias("__b"), F.max("score").alias("__top"), F.collect_list("score").alias("__all"))
-    clear = F.size(F.filter("__all", lambda s: s > F.col("__top") - 0.1)) == 1
-    return best.where(clear).select(*keys, F.col("__name").alias(name_col), F.col("__b.body").alias("body"), F.col("__b.form").alias("form"), F.col("__b.score").alias("score"))
+    return scored.groupBy("name", "body").agg(F.max(F.struct("score", "form")).alias("__b")).select("name", "body", "__b.form", "__b.score")
+
+
+def link(names: DataFrame, keys: list[str], name_col: str, lex: Lexicon, evidence_col: str | None = None, restore: Callable[[DataFrame, Column], Column] | None = None) -> DataFrame:
+    """The body that each name stands for: keys, name, body, form, score (bits); names of no body give no row.
+
+    Distinct names are linked once (`candidates`); a register id in `evidence_col` decides between bodies that share a
+    form, for each distinct name and id. If two bodies still score the same, the name stands for neither. Null, empty and
+    senseless names give no row; keys that are repeated come out once for each name. What `restore` makes of a name is read
+    in its place.
+    """
+    told = names[evidence_col] if evidence_col else F.lit(None).cast("string")
+    rows = names.where(names[name_col].isNotNull()).select(*[names[k] for k in keys], names[name_col].alias("__name"), F.coalesce(told, F.lit("")).alias("__told"))
+    asked = rows.select(F.col("__name").alias("name"), "__told").distinct()
+    once = asked.select("name").distinct()
+    found = candidates(once.withColumn("__text", restore(once, once["name"])) if restore else once, "name", lex, "__text" if restore else None)
+    scored = asked.join(found, "name").withColumn("score", F.col("score") + F.when(F.col("body") == F.col("__told"), 8.0).otherwise(0.0))
+    best = scored.groupBy("name", "__told").agg(F.max(F.struct("score", "body", "form")).alias("__b"), F.max("score").alias("__top"), F.collect_list("score").alias("__all"))
+    clear = best.where(F.size(F.filter("__all", lambda s: s > F.col("__top") - 0.1)) == 1).select(F.col("name").alias("__name"), "__told", "__b.*")
+    best = rows.join(clear, ["__name", "__told"]).groupBy(*keys, F.col("__name").alias(name_col)).agg(F.max(F.struct("score", "body", "form")).alias("__b"))
+    return best.select(*keys, name_col, "__b.body", "__b.form", "__b.score")

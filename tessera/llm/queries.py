@@ -87,24 +87,31 @@ def _typed_names(spark: SparkSession, d: str) -> DataFrame:
     return one.unionByName(two).unionByName(three).where(F.col("name").isNotNull())
 
 
-def _linked_names(spark: SparkSession, d: str) -> DataFrame:
+def _linked_names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(names written exactly as in the register with their bodies, other names with theirs)."""
     register = table(spark, d, "organizations")
     typed = _typed_names(spark, d)
     fields = [register.select("name")] + [table(spark, d, t).select(F.col(c).alias("name")) for t, c in (("commission_meeting_organizations", "organization_name"), ("hys_feedback_bronze", "organisation_name"), ("commission_meetings", "organizations_raw"))]
     corpus = fields[0].unionByName(fields[1]).unionByName(fields[2]).unionByName(fields[3])
     scores = encoding.pair_scores(encoding.pair_counts(corpus, "name"))
-    written = register.select(F.col("name").alias("name"), F.col("id").alias("exact")).where(F.col("name").isNotNull()).groupBy("name").agg(F.min("exact").alias("exact"))
+    written = register.where(F.col("name").isNotNull()).groupBy("name").agg(F.collect_set("id").alias("ids"))
+    exact = typed.join(written, "name").withColumn("body", F.when(F.array_contains("ids", F.col("told")), F.col("told")).otherwise(F.when(F.size("ids") == 1, F.array_min("ids"))))
+    restore = lambda df, name: F.when(name.rlike(r"[^\x00-\x7f]"), encoding.restored(df, name, scores)).otherwise(name)
     other = typed.join(written.select("name"), "name", "left_anti")
-    other = other.withColumn("restored", F.when(F.col("name").rlike(r"[^\x00-\x7f]"), encoding.restored(other, F.col("name"), scores)).otherwise(F.col("name")))
-    return names.link(other, ["source_table", "record_id", "pos"], "name", names.lexicon(register), "told", "restored")
+    return exact, names.link(other, ["source_table", "record_id", "pos"], "name", names.lexicon(register), "told", restore)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _linked_names(spark, d).select("source_table", "record_id", "pos", F.col("body").alias("organization_id")).distinct()
+    return _linked_names(spark, d)[1].select("source_table", "record_id", "pos", F.col("body").alias("organization_id")).distinct()
 
 
 def p6_links(spark: SparkSession, d: str) -> DataFrame:
-    return _linked_names(spark, d)
+    """Every name with its body, form and score in bits; an exact name says as much as the register has names, less its namesakes."""
+    exact, other = _linked_names(spark, d)
+    total = table(spark, d, "organizations").where(F.col("name").isNotNull()).agg(F.count("*").cast("double").alias("n"))
+    rows = exact.where(F.col("body").isNotNull()).groupBy("source_table", "record_id", "pos", "name").agg(F.min(F.struct(F.size("ids").alias("n"), "body")).alias("b"))
+    sure = rows.select("source_table", "record_id", "pos", "name", "b.body", F.lit("exact").alias("form"), F.log2(F.lit(total.first()["n"]) / F.col("b.n")).alias("score"))
+    return sure.unionByName(other.select(*sure.columns))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -135,15 +135,15 @@ def edges(df: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> Data
 def repeated(all_edges: DataFrame) -> DataFrame:
     """(e, doc, s, t): edges that two or more records have, with half of what the edge lacks of a span on one side.
 
-    One exchange by the edge's hash serves the count, the join and the windows over (edge, side, half).
+    The edges are written once. Who shares an edge, and then a half of one, is told by the least and the largest record
+    of each, which are combined before the exchange; the joins back have one row a key on one side, so that a hot edge's
+    rows can be split over tasks.
     """
-    by_edge = all_edges.repartition("e")
-    often = by_edge.groupBy("e").agg(F.min("doc").alias("__a"), F.max("doc").alias("__b")).where(F.col("__a") < F.col("__b")).select("e")
-    kept = by_edge.join(often, "e", "left_semi")
-    halves = kept.select("e", "doc", "s", "t", F.posexplode(F.array("left", "right")).alias("__side", "__half")).where(F.col("__half") != 0)
-    alike = Window.partitionBy("e", "__side", "__half")
-    shared = halves.withColumn("__a", F.min("doc").over(alike)).withColumn("__b", F.max("doc").over(alike)).where(F.col("__a") < F.col("__b"))
-    return shared.groupBy("e", "doc", "s", "t").agg(F.lit(1).alias("__one")).drop("__one")
+    stored_edges = stored(all_edges, "edges")
+    shared = lambda df, keys: df.groupBy(*keys).agg(F.min("doc").alias("__a"), F.max("doc").alias("__b")).where(F.col("__a") < F.col("__b")).select(*keys)
+    kept = stored(stored_edges.join(shared(stored_edges, ["e"]), "e", "left_semi"), "shared-edges")
+    halves = kept.select("e", "doc", "s", "t", F.posexplode(F.array("left", "right")).alias("side", "half")).where(F.col("half") != 0)
+    return halves.join(shared(halves, ["e", "side", "half"]), ["e", "side", "half"], "left_semi").select("e", "doc", "s", "t").distinct()
 
 
 def compacted(occurrences: DataFrame, k: int) -> DataFrame:
