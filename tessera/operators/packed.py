@@ -8,6 +8,7 @@ functions of SQL, so it runs inside the JVM and in a single narrow pass.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -63,28 +64,39 @@ def _put_last(a: Column, x: Column) -> Column:
     return F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(x))
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _tokens(raw: Column) -> Column:
     """The field as tokens: text after a delimiter begins with that delimiter's mark, literals stand between OPEN and CLOSE."""
     clean = F.regexp_replace(raw, "[\u0001-\u0006]", "")
-    pieces = F.split(F.regexp_replace(clean, f"([{QUOTES}])", f"{CUT}$1{CUT}"), CUT, -1)
-    quotes = F.length(clean) - F.length(F.translate(clean, QUOTES, ""))
-    balanced = (quotes - quotes % 2) * 2
 
     def plain(p: Column) -> Column:
         marked = F.regexp_replace(F.regexp_replace(p, STRONG, STRONG_MARK), r",(?![0-9])", COMMA_MARK)
         return F.split(marked, f"(?=[{STRONG_MARK}{COMMA_MARK}])", -1)
 
-    def token(p: Column, i: Column) -> Column:
-        escape = (i % 4 == 0) & (i > 0) & (i < balanced) & (p == "")
-        return (
-            F.when(i > balanced, F.when((i % 2) == 1, F.array(F.lit(""))).otherwise(plain(p)))
-            .when(escape, F.array(F.lit(ESCAPE)))
-            .when(i % 4 == 0, plain(p))
-            .when(i % 4 == 2, F.array(F.concat(F.lit(OPEN), F.element_at(pieces, (i).cast("int")), p, F.element_at(pieces, (i + 2).cast("int")), F.lit(CLOSE))))
-            .otherwise(F.array().cast("array<string>"))
-        )
+    def cut(x: Column) -> Column:
+        pieces, balanced = x["pieces"], x["balanced"]
+
+        def token(p: Column, i: Column) -> Column:
+            escape = (i % 4 == 0) & (i > 0) & (i < balanced) & (p == "")
+            return (
+                F.when(i > balanced, F.when((i % 2) == 1, F.array(F.lit(""))).otherwise(plain(p)))
+                .when(escape, F.array(F.lit(ESCAPE)))
+                .when(i % 4 == 0, plain(p))
+                .when(i % 4 == 2, F.array(F.concat(F.lit(OPEN), F.element_at(pieces, (i).cast("int")), p, F.element_at(pieces, (i + 2).cast("int")), F.lit(CLOSE))))
+                .otherwise(F.array().cast("array<string>"))
+            )
+
+        return F.flatten(F.transform(pieces, token))
+
+    def counted(c: Column) -> Column:
+        quotes = F.length(c) - F.length(F.translate(c, QUOTES, ""))
+        return F.struct(F.split(F.regexp_replace(c, f"([{QUOTES}])", f"{CUT}$1{CUT}"), CUT, -1).alias("pieces"), ((quotes - quotes % 2) * 2).alias("balanced"))
 
-    return F.flatten(F.transform(pieces, token))
+    return _let(_let(clean, counted), cut)
 
 
 def _values(tokens: Column) -> Column:
@@ -111,40 +123,53 @@ def _bare(v: Column) -> Column:
 
 def _clean(v: Column) -> Column:
     """A value as it goes out: enclosing quotes gone, quotes inside as typed, white space collapsed."""
-    bare = _bare(v)
-    whole = F.regexp_extract(bare, f"(?s)^{OPEN}.([^{OPEN}{CLOSE}]*).{CLOSE}$", 1)
-    text = F.when(whole != "", whole).otherwise(F.when(bare.rlike(f"(?s)^{OPEN}.[^{OPEN}{CLOSE}]*.{CLOSE}$"), F.lit("")).otherwise(F.regexp_replace(bare, f"[{OPEN}{CLOSE}]", "")))
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ | $", "")
+
+    def inner(bare: Column) -> Column:
+        whole = f"(?s)^{OPEN}.([^{OPEN}{CLOSE}]*).{CLOSE}$"
+        return F.when(bare.rlike(whole), F.regexp_extract(bare, whole, 1)).otherwise(F.translate(bare, OPEN + CLOSE, ""))
+
+    return F.regexp_replace(F.regexp_replace(_let(_bare(v), inner), r"(?U)\s+", " "), r"^ | $", "")
+
+
+def _close(x: Column, y: Column) -> Column:
+    """Whether x is y but for one slip, or two in a word of six letters or more."""
+    most = F.when(F.length(y) >= 6, 2).otherwise(1)
+    return (F.abs(F.length(x) - F.length(y)) <= most) & (F.levenshtein(x, y) <= most)
+
+
+def _as_long(words: list[str], size: Column) -> Column:
+    """Those of some words whose length differs from `size` by no more than two, by a map that has them for each length."""
+    lengths = {n for w in words for n in range(max(1, len(w) - 2), len(w) + 3)}
+    held = {n: [w for w in words if abs(len(w) - n) <= 2] for n in sorted(lengths)}
+    by_length = F.create_map(*[v for n, ws in held.items() for v in (F.lit(n), F.array(*[F.lit(w) for w in ws]))])
+    return F.coalesce(F.try_element_at(by_length, size), F.array().cast("array<string>"))
 
 
 def _joined(values: Column, hints: Hints) -> Column:
     """Values that only a comma separates joined again where they are one name."""
 
-    def one_name(left: Column, right: Column) -> Column:
-        l, r = F.lower(_bare(left)), F.lower(_bare(right))
-        single = lambda x: ~x.rlike(r"(?U)\s") & (x != "")
-        tests = [
-            r.rlike(ATTACHED),
-            r.rlike(r"(?U)^(?=.*\s)[^,]*\s(?:of|of the|for|des|de|der|dos|degli)$") & (l != ""),
-            single(l) & r.rlike(r"(?U)^\S+ (?:&|and|und|et|e|y) \S+$"),
-        ]
+    single = lambda x: ~x.rlike(r"(?U)\s") & (x != "")
+    literal = lambda x: x.rlike(f"^{OPEN}[^{OPEN}{CLOSE}]*{CLOSE}$")
+    behind: dict[str, list[str]] = {}
+    for x, y in hints.around:
+        behind.setdefault(x, []).append(y)
+
+    def one_name(both: Column) -> Column:
+        l, r = both["l"], both["r"]  # noqa: E741
+        out = r.rlike(ATTACHED) | (r.rlike(r"(?U)^(?=.*\s)[^,]*\s(?:of|of the|for|des|de|der|dos|degli)$") & (l != "")) | (single(l) & r.rlike(r"(?U)^\S+ (?:&|and|und|et|e|y) \S+$"))
         if hints.given:
-            near = F.array(*[F.lit(g) for g in hints.given])
-            tests.append(single(l) & single(r) & (F.length(r) > 2) & F.exists(near, lambda g: F.levenshtein(r, g) <= F.when(F.length(g) >= 6, 2).otherwise(1)))
-        if hints.around:
-            pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in hints.around])
-            before, after = F.regexp_extract(l, r"(\S+)$", 1), F.regexp_extract(r, r"^(\S+)", 1)
-            fits = lambda x, y: F.levenshtein(x, y) <= F.when(F.length(y) >= 6, 2).otherwise(1)
-            tests.append(F.exists(pairs, lambda p: fits(before, p["a"]) & fits(after, p["b"])))
-        quoted = _bare(left).rlike(f"^{OPEN}[^{OPEN}{CLOSE}]*{CLOSE}$") | _bare(right).rlike(f"^{OPEN}[^{OPEN}{CLOSE}]*{CLOSE}$")
-        any_ = tests[0]
-        for t in tests[1:]:
-            any_ = any_ | t
-        return any_ & ~quoted
+            out = out | (single(l) & single(r) & (F.length(r) > 2) & F.exists(_as_long(hints.given, F.length(r)), lambda g: _close(r, g)))
+        if behind:
+            after, before = F.regexp_extract(r, r"^(\S+)", 1), F.regexp_extract(l, r"(\S+)$", 1)
+            follows = F.create_map(*[v for x, ys in behind.items() for v in (F.lit(x), F.array(*[F.lit(y) for y in ys]))])
+            near = _let(before, lambda b: F.filter(_as_long(sorted(behind), F.length(b)), lambda x: _close(b, x)))
+            out = out | F.exists(near, lambda x: F.exists(F.element_at(follows, x), lambda y: _close(after, y)))
+        return out & ~literal(l) & ~literal(r)
 
     def step(acc: Column, v: Column) -> Column:
         left = _last(acc)
-        return F.when((F.size(acc) > 0) & v.startswith(COMMA_MARK) & F.coalesce(one_name(left, v), F.lit(False)), _put_last(acc, F.concat(left, F.lit(","), F.substring(v, F.lit(2), F.length(v))))).otherwise(F.concat(acc, F.array(v)))
+        both = F.struct(F.lower(_bare(left)).alias("l"), F.lower(_bare(v)).alias("r"))
+        return F.when((F.size(acc) > 0) & v.startswith(COMMA_MARK) & F.coalesce(_let(both, one_name), F.lit(False)), _put_last(acc, F.concat(left, F.lit(","), F.substring(v, F.lit(2), F.length(v))))).otherwise(F.concat(acc, F.array(v)))
 
     plain = F.aggregate(values, F.array().cast("array<string>"), step)
     return F.when(F.exists(values, lambda v: v.startswith(COMMA_MARK)), plain).otherwise(values)
@@ -152,7 +177,7 @@ def _joined(values: Column, hints: Hints) -> Column:
 
 def unpack(raw: Column, hints: Hints | None = None) -> Column:
     """The values of a packed field, in their order, as an array; empty pieces don't count. Null gives null."""
-    return F.filter(F.transform(_joined(_values(_tokens(raw)), hints or Hints()), _clean), lambda v: v != "")
+    return F.filter(F.transform(_let(_values(_tokens(raw)), lambda v: _joined(v, hints or Hints())), _clean), lambda v: v != "")
 
 
 def unpacked(df: DataFrame, id_col: str, raw_col: str, hints: Hints | None = None, value: str = "value", least: int = 1) -> DataFrame:
