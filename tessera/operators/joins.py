@@ -9,9 +9,13 @@ from ..functions import text as X
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column], last: bool = False) -> DataFrame:
-    """One row a key: the first (or last) by `order`, which must be total. Null keys form a group of their own."""
-    by = [o.desc() for o in order] if last else order
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where("__n = 1").drop("__n")
+    """One row a key: the first (or last) by `order`, which must be total. Null keys form a group of their own.
+
+    An aggregate, not a window: a hot key's rows are reduced within each task before the exchange.
+    """
+    pick = F.max_by if last else F.min_by
+    best = df.groupBy(*keys).agg(pick(F.struct(*[df[c] for c in df.columns]), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("__best"))
+    return best.select("__best.*")
 
 
 def unique_keys(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -25,9 +29,9 @@ def resolve_cascade(names: DataFrame, register: DataFrame, name_col: str, told_c
 
     Rungs, the first that hits wins: register id, strict key, strict key of the cleaned name, acronym of the cleaned
     name, acronym, either side of trailing parentheses (key, then acronym), a prefix with one continuation, a
-    register id inside the name, else a stub. Keys are computed once on the distinct names and each rung is one left
-    join against an index that has one row a key. With compat an empty name becomes the unknown stub before its
-    register id is looked at.
+    register id inside the name, else a stub. Every distinct name is exploded to its keys, which meet one index of all
+    kinds of keys in one equi-join; the lowest rung is taken by an aggregate. With compat an empty name becomes the
+    unknown stub before its register id is looked at.
     """
     reg = register.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), X.name_key(F.col(reg_name)).alias("__key"), F.lower(F.trim(F.col(acronym))).alias("__acr"), F.col(reg_id).alias("__tr"))
     by_key = reg.where(F.col("__key") != "").groupBy("__key").agg(F.max("__id").alias("__id"))
@@ -38,25 +42,25 @@ def resolve_cascade(names: DataFrame, register: DataFrame, name_col: str, told_c
     clean = X.clean_name(F.col("name"))
     outer, inner = F.trim(F.regexp_extract("name", r"^(.*?)\s*\(([^)]+)\)\s*$", 1)), F.trim(F.regexp_extract("name", r"^(.*?)\s*\(([^)]+)\)\s*$", 2))
     changed = clean != F.col("name")
-    n = n.select(
-        "name", "told", X.name_key(F.col("name")).alias("k1"), F.when(changed, X.name_key(clean)).alias("k2"), F.when(changed, F.lower(clean)).alias("a2"), F.lower("name").alias("a1"),
-        F.nullif(X.name_key(outer), F.lit("")).alias("k3"), F.nullif(F.lower(outer), F.lit("")).alias("a3"), F.nullif(X.name_key(inner), F.lit("")).alias("k4"), F.nullif(F.lower(inner), F.lit("")).alias("a4"),
-        F.when(F.length("name") >= 5, X.name_key(clean)).alias("pre"), X.register_id(F.col("name")).alias("inside"),
-    )
-    for col, index, key in [("told", by_tr, "__tr"), *[(k, by_key, "__key") for k in ("k1", "k2", "k3", "k4")], *[(a, by_acr, "__acr") for a in ("a2", "a1", "a3", "a4")], ("inside", by_tr, "__tr")]:
-        n = n.join(index.select(F.col(key).alias(col), F.col("__id").alias(f"id_{col}")), col, "left")
-    cut = F.substring("__key", 1, 4)
-    prefixes = n.where(F.length("pre") >= 4).select("pre").distinct()
-    runs = prefixes.join(by_key.select(cut.alias("__cut"), "__key", F.col("__id").alias("__hit")), F.substring("pre", 1, 4) == F.col("__cut")).where(F.expr("startswith(__key, pre)"))
-    runs = runs.groupBy("pre").agg(F.min("__hit").alias("id_pre"), F.count("*").alias("__c")).where("__c = 1").select("pre", "id_pre")
-    n = n.join(runs, "pre", "left")
-    rungs = [("told", "tr_id_exact"), ("k1", "name_exact"), ("k2", "cleaned_name"), ("a2", "cleaned_acronym"), ("a1", "acronym"), ("k3", "parenthetical"), ("a3", "parenthetical_acronym"), ("k4", "parenthetical"), ("a4", "parenthetical_acronym"), ("pre", "prefix"), ("inside", "tr_id_extracted")]
-    best = F.coalesce(*[F.when(F.col(f"id_{c}").isNotNull(), F.struct(F.col(f"id_{c}").alias("id"), F.lit(m).alias("method"))) for c, m in rungs])
+    # rung, method, which index, key: the first rung that hits wins
+    rungs = [
+        ("tr_id_exact", "t", F.col("told")), ("name_exact", "k", X.name_key(F.col("name"))), ("cleaned_name", "k", F.when(changed, X.name_key(clean))), ("cleaned_acronym", "a", F.when(changed, F.lower(clean))), ("acronym", "a", F.lower("name")), ("parenthetical", "k", X.name_key(outer)), ("parenthetical_acronym", "a", F.lower(outer)),
+        ("parenthetical", "k", X.name_key(inner)), ("parenthetical_acronym", "a", F.lower(inner)), ("prefix", "p", F.when((F.length("name") >= 5) & (F.length(X.name_key(clean)) >= 4), X.name_key(clean))), ("tr_id_extracted", "t", X.register_id(F.col("name"))),
+    ]
+    named = F.col("name") != ""
+    forms = n.select("name", "told", F.explode(F.array(*[F.struct(F.lit(i).alias("rung"), F.lit(m).alias("method"), F.lit(kind).alias("kind"), (key if i == 0 else F.when(named, key)).alias("key")) for i, (m, kind, key) in enumerate(rungs)])).alias("f")).select("name", "told", "f.*")
+    forms = forms.where(F.length("key") > 0)  # keys that are missing go nowhere
+    cut = lambda c: F.substring(c, 1, 4)
+    runs = forms.where("kind = 'p'").select("key").distinct().join(by_key.select(cut("__key").alias("__cut"), "__key", "__id"), cut("key") == F.col("__cut")).where(F.expr("startswith(__key, key)"))
+    runs = runs.groupBy("key").agg(F.min("__id").alias("__id"), F.count("*").alias("__c")).where("__c = 1").select(F.lit("p").alias("kind"), "key", "__id")
+    index = by_key.select(F.lit("k").alias("kind"), F.col("__key").alias("key"), "__id").unionByName(by_acr.select(F.lit("a").alias("kind"), F.col("__acr").alias("key"), "__id")).unionByName(by_tr.select(F.lit("t").alias("kind"), F.col("__tr").alias("key"), "__id")).unionByName(runs)
+    hits = forms.join(index, ["kind", "key"]).select("name", "told", "rung", "method", F.col("__id").alias("resolved_id"))
     empty = F.struct(X.stub_id(F.lit("unknown")).alias("id"), F.lit("stub_empty").alias("method"))
-    stub = F.struct(X.stub_id(F.col("k1")).alias("id"), F.lit("stub").alias("method"))
-    blank = F.col("name") == ""
-    choice = F.when(blank, empty if compat else F.coalesce(F.when(F.col("id_told").isNotNull(), F.struct(F.col("id_told").alias("id"), F.lit("tr_id_exact").alias("method"))), empty)).otherwise(F.coalesce(best, stub))
-    return n.select("name", "told", choice.alias("__c")).select("name", "told", F.col("__c.id").alias("resolved_id"), F.col("__c.method").alias("method"))
+    stub = F.struct(X.stub_id(X.name_key(F.col("name"))).alias("id"), F.lit("stub").alias("method"))
+    last = n.select("name", "told", F.lit(-1 if compat else len(rungs)).alias("rung"), F.when(named, stub).otherwise(empty).alias("__s"))
+    last = last.select("name", "told", F.when(named, len(rungs)).otherwise(F.col("rung")).alias("rung"), F.col("__s.method").alias("method"), F.col("__s.id").alias("resolved_id"))
+    best = hits.unionByName(last).groupBy("name", "told").agg(F.min(F.struct("rung", "method", "resolved_id")).alias("__b"))
+    return best.select("name", "told", "__b.resolved_id", "__b.method")
 
 
 def prefix_join(left: DataFrame, right: DataFrame, prefix: str, key: str, least: int = 4) -> DataFrame:
@@ -70,14 +74,20 @@ def prefix_join(left: DataFrame, right: DataFrame, prefix: str, key: str, least:
 def alias_in_text(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str, alias_col: str = "alias") -> DataFrame:
     """Each text with the longest alias that it contains as words (ties: the smaller alias): id, alias.
 
-    Blocked by the alias's first word: an equi-join instead of a nested loop over all aliases.
+    Blocked by the word of each alias that fewest aliases have (of equals the longest): an equi-join instead of a nested
+    loop over all aliases. What is exploded carries no text, only the words around each word that an alias can reach.
     """
     words = lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
-    t = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col), words(F.col(text_col)).alias("__t"))
-    a = aliases.select(words(F.col(alias_col)).alias(alias_col)).where(F.length(alias_col) >= 3).distinct().withColumn("__w", F.element_at(F.split(alias_col, " "), 1))
-    near = t.withColumn("__w", F.explode(F.array_distinct(F.split("__t", " ")))).join(a, "__w")
-    hits = near.where(F.expr(f"contains(concat(' ', __t, ' '), concat(' ', {alias_col}, ' '))"))
-    return hits.groupBy(id_col).agg(F.max(F.struct(F.length(alias_col).alias("n"), F.lit(0).alias("z"))).alias("__top"), F.collect_set(alias_col).alias("__all")).select(id_col, F.array_min(F.filter("__all", lambda x: F.length(x) == F.col("__top.n"))).alias(alias_col))
+    a = aliases.select(words(F.col(alias_col)).alias(alias_col)).where(F.length(alias_col) >= 3).distinct()
+    parts = a.select(alias_col, F.explode(F.array_distinct(F.split(alias_col, " "))).alias("__w"))
+    common = parts.groupBy("__w").agg(F.count("*").alias("__n"))
+    rarest = parts.join(common, "__w").groupBy(alias_col).agg(F.min_by("__w", F.struct("__n", -F.length("__w"), "__w")).alias("__w"))
+    reach = rarest.agg(F.max(F.size(F.split(alias_col, " ")))).first()[0] or 1
+    t = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.split(words(F.col(text_col)), " ").alias("__t"))
+    around = F.array_join(F.slice("__t", F.greatest(F.col("__p") - (reach - 2), F.lit(1)), F.least(F.col("__p"), F.lit(reach - 1)) + reach), " ")
+    near = t.select(id_col, "__t", F.posexplode("__t").alias("__p", "__w")).select(id_col, "__w", around.alias("__around")).join(rarest, "__w")
+    hits = near.where(F.expr(f"contains(concat(' ', __around, ' '), concat(' ', {alias_col}, ' '))"))
+    return hits.groupBy(id_col).agg(F.min(F.struct((-F.length(alias_col)).alias("n"), F.col(alias_col).alias("a"))).alias("__b")).select(id_col, F.col("__b.a").alias(alias_col))
 
 
 def previous(left: DataFrame, right: DataFrame, keys: list[str], time: str, right_time: str, value: str) -> DataFrame:

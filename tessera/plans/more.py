@@ -15,9 +15,10 @@ from ..operators import joins as J
 from ..operators import linking as L
 from ..operators import merge as M
 from ..operators import similarity as E
-from ..session import table
+from ..session import stored, table
 from .registry import query
 from .relational import _dyads, _meetings
+from .scalars import _PAIRS
 
 
 @query()
@@ -88,20 +89,22 @@ def A26_key_members(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("name").agg(F.count_distinct("id").alias("n_meetings"), F.count_distinct("function").alias("n_functions"))
 
 
-@query()
+_SURVIVAL = """SELECT count(*) AS n, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) AS recall_1, avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END) AS recall_3, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END) AS recall_5, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END) AS recall_10, {k} AS k_reverse
+ FROM g LEFT JOIN (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM r WHERE place <= {k}) USING (q, c)"""
+
+
+@query(f"WITH {_PAIRS}, r AS (SELECT q, c, score, row_number() OVER (PARTITION BY c ORDER BY score DESC, q) AS place FROM pr), g AS (SELECT q, c FROM (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS i FROM pr) WHERE i = 1) " + " UNION ALL ".join(_SURVIVAL.format(k=k) for k in (5, 10, 20)))
 def A32_reciprocal_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Retrieval after the reciprocal filter for several reverse depths; items filtered out count as 0."""
     e = table(spark, d, "embeddings")
     q = e.where(F.col("vec_id") % 50 == 0)
-    pairs = E.scored_pairs(q, e, "vec_id", "vec_id", "embedding", -1.0, same=True).withColumn("score", F.round("score", 6))
-    n = q.count()
-    gold = pairs.groupBy("q").agg(F.max_by("c", F.struct("score", -F.col("c"))).alias("c"))
+    pairs = stored(E.nearest_queries(q, e, "vec_id", "vec_id", "embedding", 20), "nearest-queries")
+    gold = E.nearest_items(q, e, "vec_id", "vec_id", "embedding")
     out = None
     for k in (5, 10, 20):
-        kept = E.reciprocal(pairs, n, k=1_000_000, k_reverse=k).select("q", "c", "score")
-        row = E.retrieval(E.gold_ranks(kept, gold)).withColumn("k_reverse", F.lit(k))
+        row = E.retrieval(E.gold_ranks(pairs.where(F.col("place") <= k).select("q", "c", "score"), gold)).withColumn("k_reverse", F.lit(k))
         out = row if out is None else out.unionByName(row)
-    return out
+    return out.withColumn("mrr", F.round("mrr", 9))
 
 
 @query("""SELECT coalesce(source, 'none') AS source, count(*) AS n, count(title) AS with_title FROM documents GROUP BY 1""")

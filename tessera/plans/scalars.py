@@ -173,10 +173,7 @@ def E16_reciprocal_neighbours(spark: SparkSession, d: str) -> DataFrame:
 def A31_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Rank of the nearest vector with the query's own label."""
     e = table(spark, d, "embeddings")
-    pairs = E.scored_pairs(e.where(F.col("vec_id") % 50 == 0), e, "vec_id", "vec_id", "embedding", -1.0, same=True).withColumn("score", F.round("score", 6))
-    labels = e.select(F.col("vec_id").alias("q"), F.col("label").alias("lq")), e.select(F.col("vec_id").alias("c"), F.col("label").alias("lc"))
-    gold = pairs.join(labels[0], "q").join(labels[1], "c").where("lq = lc").select("q", "c")
-    ranks = E.gold_ranks(pairs, gold).groupBy("q").agg(F.min("rank").alias("rank"))
+    ranks = E.label_ranks(e.where(F.col("vec_id") % 50 == 0), e, "vec_id", "vec_id", "embedding", "label")
     return E.retrieval(ranks).withColumn("mrr", F.round("mrr", 9))
 
 
