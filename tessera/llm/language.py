@@ -262,7 +262,7 @@ def training_rows(df: DataFrame, id_col: str, text_col: str, label_col: str, per
         return []
     keep = F.create_map(*[F.lit(x) for code, n in sorted(sizes.items()) for x in (code, min(1.0, per_language / n))])
     part = labelled.where(F.pmod(F.col("__h"), F.lit(1_000_003)) < F.element_at(keep, F.col("__code")) * 1_000_003)
-    return [(r[0], r[1]) for r in part.select("__text", "__code").limit(2 * per_language * len(sizes)).collect()]
+    return [(r[0], r[1]) for r in part.orderBy("__h", "__text", "__code").select("__text", "__code").limit(2 * per_language * len(sizes)).collect()]
 
 
 SEGMENTS = "array<struct<segment:int,start:int,end:int,whole:boolean,language:string,confidence:double>>"

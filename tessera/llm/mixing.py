@@ -138,6 +138,21 @@ def mix(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col
     return chosen.where("repeats > 0"), report
 
 
+def ordered(chosen: DataFrame, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
+    """Every copy of a mix with its epoch (from 0), block (from 0) and place in the block (from 1), beside chosen's columns.
+
+    Copies fall into blocks by hash, so each block has the mix's shares but for chance and copies of one document lie
+    apart; reading blocks in order of number and each by place gives the permutation. Blocks hold BLOCK_DOCUMENTS copies
+    on average, whatever the mix, so only blocks are sorted. An empty mix gives no row.
+    """
+    copies = chosen.select("*", F.explode(F.sequence(F.lit(0), F.col("repeats").cast("int") - 1)).alias("epoch"))
+    n = chosen.agg(F.sum("repeats")).first()[0] or 0
+    key = lambda k: F.xxhash64(F.col(id_col), F.col("epoch"), F.lit(k))
+    placed = copies.withColumn("block", F.pmod(key(seed), F.lit(max(1, math.ceil(n / BLOCK_DOCUMENTS)))))
+    inside = Window.partitionBy("block").orderBy(key(seed + 1), id_col, "epoch")
+    return placed.withColumn("place", F.row_number().over(inside))
+
+
 def sized(documents: DataFrame, **options) -> DataFrame:
     """Every document's number of tokens, stored once because a mix reads it several times."""
     from .bpe import encode_documents

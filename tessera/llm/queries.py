@@ -136,6 +136,12 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))[0]
 
 
+def p9_order(spark: SparkSession, d: str) -> DataFrame:
+    """The mix as it is read: every copy with its epoch, block and place."""
+    chosen = mixing.mix(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))[0]
+    return mixing.ordered(chosen.where("repeats > 0"))
+
+
 def p9_epoch(spark: SparkSession, d: str) -> DataFrame:
     """The mix that is as large as the documents of its sources, where the exponent has to give way to the limits."""
     sizes = mixing.sized(table(spark, d, "documents"))

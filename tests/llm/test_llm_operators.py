@@ -101,6 +101,18 @@ def test_mix_reaches_targets(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(sizes, targets)[0].collect()))
 
 
+def test_order_of_a_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCUMENTS", 20)
+    chosen = spark.createDataFrame([(i, "a", 5, 1 + i % 3) for i in range(90)], "doc_id long, source string, n_tokens int, repeats int")
+    rows = mixing.ordered(chosen).collect()
+    assert {(r["doc_id"], r["epoch"]) for r in rows} == {(i, k) for i in range(90) for k in range(1 + i % 3)} and len(rows) == 180
+    blocks = {}
+    for r in rows:
+        blocks.setdefault(r["block"], []).append(r["place"])
+    assert set(blocks) == set(range(9)) and all(sorted(x) == list(range(1, len(x) + 1)) for x in blocks.values())
+    assert mixing.ordered(chosen.limit(0)).count() == 0
+
+
 def test_exponent_gives_way():
     sources = [mixing.Source("a", 0.5, 1, 900, 9), mixing.Source("b", 0.5, 2, 100, 1)]
     total, exponent, weights = mixing.plan(sources, total_tokens=1000)
