@@ -50,9 +50,9 @@ def ledger_sink(stream: DataFrame, ledger: str, key: str, process: Callable[[Dat
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        done = process(rows).persist()
-        done.write.mode("append").parquet(out)
-        done.select(key).write.mode("append").parquet(ledger)
-        done.unpersist()
+        rows = rows.persist()
+        process(rows).write.mode("append").parquet(out)
+        rows.select(key).write.mode("append").parquet(ledger)  # also of rows that gave nothing
+        rows.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
