@@ -290,6 +290,18 @@ def glued_split(text: str, names: set[str]) -> list[str]:
     return [*out, held.strip()] if held.strip() else out
 
 
+def glued_names(text: Column, names: list[str]) -> Column:
+    """glued_split as a column, for a dictionary of bounded size."""
+    known = set(names)
+
+    @F.pandas_udf("array<string>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([None if t is None else glued_split(t, known) for t in b], dtype=object)
+
+    return cut(text)
+
+
 def weighted_ratio(a: str, b: str) -> float:
     """A similarity from 0 to 100: the best of plain, sorted-token and token-set ratios and, for unequal lengths, a partial one."""
     from difflib import SequenceMatcher

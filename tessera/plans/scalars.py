@@ -28,12 +28,6 @@ def C07_keys_and_stub_ids(spark: SparkSession, d: str) -> DataFrame:
     return _names(spark, d).select("id", k.alias("k"), X.id_key(F.col("name")).alias("id_key"), X.stub_id(k).alias("stub"))
 
 
-@query()
-def C03_name_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Strict and light keys over Unicode classes, on which SQL engines disagree; tested on a fixture."""
-    return _names(spark, d).select("id", X.name_key(F.col("name")).alias("strict"), X.display_key(F.col("name")).alias("light"), F.array_join(X.search_variants(F.col("name")), "|").alias("variants"), X.clean_name(F.col("name")).alias("clean"))
-
-
 _FILLER = X.FILLER.replace("'", "''")
 
 

@@ -30,7 +30,8 @@ def test_names(spark):
     assert one(spark, X.without_filler(F.col("x")), x="Exchange of views on the Foo Act") == "Foo Act"
     assert one(spark, X.without_filler(F.col("x")), x="Riunione sull’energia") == "energia"
     assert one(spark, X.location(F.col("x")), x="Bruxelles, Belgium") == "Brussels"
-    assert one(spark, X.location(F.col("x")), x=" ") is None
+    assert one(spark, X.location(F.col("x")), x="") == "" and one(spark, X.location(F.col("x")), x="Paris, France.") == "Paris, France" and one(spark, X.location(F.col("x")), x="Tokio, Japan") == "Tokyo"
+    assert one(spark, X.location(F.col("x")), x="Berlaymont / webex") == "Brussels (Online)" and one(spark, X.location(F.col("x")), x="video call") == "Online" and one(spark, X.location(F.col("x")), x=None) is None
     assert one(spark, X.target_article(F.col("x")), x="article 5 – paragraph 2") == "Article 5"
     assert one(spark, X.com_variants(F.col("x")), x="COM(2021)0206") == ["COM(2021)206", "COM(2021)0206", "COM/2021/206", "COM 2021 206"]
     assert one(spark, X.file_ids(F.col("x")), x="2021/0106(COD), 2021/0106(COD), 2020/1(cod)") == ["2021/0106(COD)"]
