@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 
 #: Pair tables have this many places, whatever the corpus.
 PLACES = 1_048_573
@@ -162,6 +162,7 @@ def pair_scores(counts: DataFrame) -> Scores:
         order = np.argsort(got["w"].to_numpy(), kind="stable")
         improbable[at[order[np.cumsum(n[order]) > IMPROBABLE * total]]] = False
     bits[np.isnan(bits)] = unseen
+    discard(counts)
     return Scores(bits, improbable, unseen)
 
 

@@ -10,7 +10,7 @@ coordinates on the compacted paths then verify the spans, character by character
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stored
+from ..session import discard, stored
 
 LEAST = 300
+#: Bits of the filter that keeps records without a path from being joined, as a power of two.
+MOST_BITS = 26
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SEED = np.uint64(0xD6E8FEB86659FD93)
@@ -132,6 +134,25 @@ def edges(df: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> Data
     return df.where((F.length(df[text_col]) >= least) & df[id_col].isNotNull()).select(df[id_col], df[text_col]).mapInArrow(run, schema)
 
 
+def _one_of(df: DataFrame, key: Column) -> Callable[[Column], Column]:
+    """A test that every key of df passes, and few others: a bit for each key's hash. It only saves a join from shuffling
+    rows without partner. The bits are ten a key, 2^MOST_BITS at most; the more keys there are beyond that, the less is saved."""
+    n = df.agg(F.approx_count_distinct(key)).first()[0] or 0
+    bits = 1 << min(MOST_BITS, max(10, (10 * n).bit_length()))
+    place = F.pmod(key, F.lit(bits))
+    held = df.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 AS int))) AS b")).toPandas()
+    words = np.zeros(bits >> 5, np.uint32)
+    words[held["w"].to_numpy(np.int64)] = held["b"].to_numpy(np.int64).astype(np.uint32)
+    shared = df.sparkSession.sparkContext.broadcast(words)  # 2^MOST_BITS bits at most
+
+    @F.pandas_udf("boolean")
+    def passes(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy(np.int64) % bits
+        return pd.Series((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0)
+
+    return passes
+
+
 def repeated(all_edges: DataFrame) -> DataFrame:
     """(e, doc, s, t): edges that two or more records have, with half of what the edge lacks of a span on one side.
 
@@ -139,9 +160,12 @@ def repeated(all_edges: DataFrame) -> DataFrame:
     of each, which are combined before the exchange; the joins back have one row a key on one side, so that a hot edge's
     rows can be split over tasks.
     """
-    stored_edges = stored(all_edges, "edges")
+    edge_table = stored(all_edges, "edges")
     shared = lambda df, keys: df.groupBy(*keys).agg(F.min("doc").alias("__a"), F.max("doc").alias("__b")).where(F.col("__a") < F.col("__b")).select(*keys)
-    kept = stored(stored_edges.join(shared(stored_edges, ["e"]), "e", "left_semi"), "shared-edges")
+    often = stored(shared(edge_table, ["e"]), "often")
+    few = edge_table.where(_one_of(often, often["e"])(edge_table["e"]))
+    kept = stored(few.join(often, "e", "left_semi"), "shared-edges")
+    discard(edge_table, often)
     halves = kept.select("e", "doc", "s", "t", F.posexplode(F.array("left", "right")).alias("side", "half")).where(F.col("half") != 0)
     return halves.join(shared(halves, ["e", "side", "half"]), ["e", "side", "half"], "left_semi").select("e", "doc", "s", "t").distinct()
 
@@ -174,12 +198,15 @@ def _near(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     k, _ = sizes(least)
     found = stored(compacted(repeated(edges(df, id_col, text_col, least)), k), "paths")
     texts = df.where(F.length(df[text_col]) >= least).select(df[id_col].alias("doc"), df[text_col].alias("__text"))
+    texts = texts.where(_one_of(found, F.xxhash64(found["doc"]))(F.xxhash64(texts["doc"])))
     # a context of `least` characters on both sides; only records with a path are joined to their texts
     near = found.join(texts, "doc").select(
         "head", "doc", F.sha2("__text", 256).alias("copy"), "s", "t",
         F.expr(f"substring(__text, greatest(s - {least}, 0) + 1, least(s, {least}))").alias("left"), F.expr(f"substring(__text, t + 1, {least})").alias("right"),
     )
-    return stored(near, "near")
+    out = stored(near, "near")
+    discard(found)
+    return out
 
 
 def _text_spans(near: DataFrame, least: int) -> DataFrame:
