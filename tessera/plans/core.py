@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.packed import register_hints, unpacked
 from ..session import table
-from . import fields, ingest, more, relational, scalars, texts  # noqa: F401  (they register their queries)
+from . import fields, ingest, more, relational, scalars, steps, texts  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, Query
 
 

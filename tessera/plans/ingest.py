@@ -138,7 +138,7 @@ def S12_register_dump(spark: SparkSession, d: str) -> DataFrame:
     """The compact dump: seven fields, goals cut at 500 characters, kept for a day (`connectors.fresh`)."""
     kept = C.read_register(spark, _register_xml(spark, d)).withColumn("read_at", F.current_timestamp())
     odd = table(spark, d, "organizations").where(F.col("interests_represented").rlike(r"^\s|\s$")).select(F.col("id").alias("eu_transparency_register_id"))
-    return C.fresh(kept, "read_at", F.current_timestamp(), 1).join(odd, "eu_transparency_register_id", "left_anti").select(F.col("eu_transparency_register_id").alias("id"), F.length("goals").alias("n_goals"))
+    return C.fresh(kept, "read_at", F.current_timestamp(), 1).join(odd, "eu_transparency_register_id", "left_anti").select(F.col("eu_transparency_register_id").alias("id"), F.length("goals").cast("long").alias("n_goals"))
 
 
 @query("""SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_name END, 'Unknown') AS name, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment ELSE 'Unknown' END AS grp FROM customer""")
