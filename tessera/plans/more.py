@@ -17,17 +17,32 @@ from ..operators import merge as M
 from ..operators import similarity as E
 from ..session import stored, table
 from .registry import query
-from .relational import _dyads, _meetings
+from .relational import _MEETINGS, _dyads, _meetings
 from .scalars import _PAIRS
 
 
-@query()
+_SQUEEZED = "trim(regexp_replace(lower({c}), '[\\s\\x{{0B}}\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
+_FITS = "(day IS NULL OR (p IS NULL AND q IS NULL AND l IS NULL) OR (day >= coalesce(CAST(p - INTERVAL 540 DAY AS DATE), DATE '2000-01-01') AND day <= coalesce(CAST(q + INTERVAL 180 DAY AS DATE), CAST(l + INTERVAL 180 DAY AS DATE), DATE '2099-12-31')))"
+_GENERIC = ", ".join(f"'{x}'" for x in X.GENERIC_TITLES)
+_OPENING = X.FILLER.replace("'", "''")
+
+
+@query(f"""WITH {_MEETINGS}, t AS (SELECT DISTINCT id AS record, meeting_date AS day, subject AS title, {_SQUEEZED.format(c="subject")} AS k FROM mt WHERE subject IS NOT NULL), e AS (SELECT id AS entry, proposal_date AS p, decision_date AS q, last_activity_date AS l FROM legal_procedures),
+ al AS (SELECT DISTINCT procedure_id AS entry, {_SQUEEZED.format(c="alias")} AS k FROM procedure_aliases WHERE alias IS NOT NULL), a AS (SELECT al.entry, al.k, trim(regexp_replace(al.k, '[^a-z0-9]+', ' ', 'g')) AS w, e.p, e.q, e.l FROM al JOIN e ON e.entry = al.entry WHERE al.k <> ''),
+ u AS (SELECT * FROM t WHERE length(k) >= 3 AND k NOT IN ({_GENERIC})), held AS (SELECT record, w FROM (SELECT u.record, a.w, row_number() OVER (PARTITION BY u.record ORDER BY length(a.w) DESC, a.w) AS rn FROM u JOIN (SELECT DISTINCT trim(regexp_replace(lower(alias), '[^a-z0-9]+', ' ', 'g')) AS w FROM procedure_aliases) a ON length(a.w) >= 3 AND contains(' ' || trim(regexp_replace(lower(u.title), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || a.w || ' ')) WHERE rn = 1),
+ links AS (SELECT t.record, t.day, e.entry, e.p, e.q, e.l, 1 AS step, 'cited' AS method FROM (SELECT record, day, unnest(list_distinct(regexp_extract_all(title, '\\b([0-9]{{4}}/[0-9]{{4}}\\([A-Z]{{2,4}}\\))', 1))) AS cited FROM t) t JOIN e ON e.entry = t.cited
+ UNION SELECT u.record, u.day, a.entry, a.p, a.q, a.l, 2, 'alias_exact' FROM (SELECT record, day, k FROM u UNION SELECT record, day, {_SQUEEZED.format(c=f"regexp_replace(k, '{_OPENING}', '')")} FROM u) u JOIN a ON a.k = u.k WHERE {_FITS} UNION SELECT u.record, u.day, a.entry, a.p, a.q, a.l, 3, 'alias_substring' FROM (SELECT DISTINCT record, day FROM u) u JOIN held ON held.record = u.record JOIN a ON a.w = held.w WHERE {_FITS}),
+ first AS (SELECT *, min(step) OVER (PARTITION BY record) AS s FROM links), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY record ORDER BY coalesce(list_min(list_filter([abs(datediff('day', p, day)), abs(datediff('day', q, day)), abs(datediff('day', l, day))], lambda x: x IS NOT NULL)), 1000000000), entry) AS INTEGER) AS rank FROM first WHERE step = s)
+ SELECT record, entry, method, rank, rank = 1 AS is_primary FROM ranked""")
 def E14_title_links(spark: SparkSession, d: str) -> DataFrame:
-    """The bulk matcher over whole tables; each step is checked by J13 and J14, the whole by a fixture."""
+    """The bulk matcher over whole tables."""
     return L.link_titles(_meetings(spark, d), table(spark, d, "legal_procedures"), table(spark, d, "procedure_aliases"), "id", "subject", "meeting_date")
 
 
-@query()
+@query("""WITH n AS (SELECT DISTINCT organisation_name AS name, regexp_replace(lower(organisation_name), '[^a-z0-9]', '', 'g') AS k FROM hys_feedback_bronze), r AS (SELECT id, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS rk, regexp_replace(lower(acronym), '[^a-z0-9]', '', 'g') AS ak FROM organizations),
+ p AS (SELECT k, rk, CASE WHEN k = rk THEN 100.0 ELSE round(100.0 * (1 - levenshtein(k, rk) / greatest(length(k), length(rk))), 4) END AS score FROM (SELECT DISTINCT k FROM n WHERE length(k) >= 3) CROSS JOIN (SELECT DISTINCT rk FROM r WHERE length(rk) >= 3)),
+ s AS (SELECT n.name, r.id, p.score FROM p JOIN n USING (k) JOIN r USING (rk) WHERE p.score >= 60 UNION ALL SELECT n.name, r.id, 95.0 FROM n JOIN r ON n.k = r.ak WHERE length(n.k) BETWEEN 1 AND 10), b AS (SELECT name, id, CAST(max(score) AS DOUBLE) AS score FROM s GROUP BY 1, 2), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY score DESC, id) AS INTEGER) AS rank FROM b)
+ SELECT name, id, score, rank, CASE WHEN score >= 96 THEN 'auto_accept' WHEN score >= 93 THEN 'to_decider' ELSE 'no_match' END AS band FROM o WHERE rank <= 3""")
 def E08_fuzzy_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Top candidates of every typed name by edit distance and acronym; a test compares them with all pairs."""
     out = L.fuzzy_candidates(table(spark, d, "hys_feedback_bronze"), table(spark, d, "organizations"), "organisation_name", "name", "id", reg_acronym="acronym")

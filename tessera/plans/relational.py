@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import stats as S
+from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import merge as M
@@ -329,7 +330,9 @@ def W11_content_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return W.content_dedupe(table(spark, d, "documents").select("doc_id", "title", "source", "ingested_at"), "doc_id", ["title", "source"], ["ingested_at"]).select("doc_id")
 
 
-@query()
+@query("""WITH RECURSIVE li AS (SELECT l_orderkey, l_linenumber, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM li),
+ f AS (SELECT l_orderkey, l_linenumber, i, CAST(0 AS BIGINT) AS bundle, q AS held FROM r WHERE i = 1 UNION ALL SELECT r.l_orderkey, r.l_linenumber, r.i, CASE WHEN f.held > 0 AND (f.held + r.q > 100 OR f.held >= 75) THEN f.bundle + 1 ELSE f.bundle END, CASE WHEN f.held > 0 AND (f.held + r.q > 100 OR f.held >= 75) THEN r.q ELSE f.held + r.q END FROM f JOIN r ON r.l_orderkey = f.l_orderkey AND r.i = f.i + 1)
+ SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, bundle FROM f""")
 def W15_bundles(spark: SparkSession, d: str) -> DataFrame:
     """Greedy bundling of line items of an order; its test compares with a loop."""
     li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
@@ -353,10 +356,10 @@ def L06_case_near_percentile(spark: SparkSession, d: str) -> DataFrame:
     return o.join(p, "k").orderBy(F.abs(F.col("o_totalprice") - F.col("p")), "o_orderkey").limit(1).select("o_orderkey")
 
 
-@query()
+@query("""SELECT doc_id, lang FROM documents ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100""")
 def L07_seeded_sample(spark: SparkSession, d: str) -> DataFrame:
-    """A sample of 100 by the hash of id and seed: the same rows in every run."""
-    return table(spark, d, "documents").select("doc_id", "lang").orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(100)
+    """A sample of 100 by the hash of id and seed: the same rows in every run and engine."""
+    return table(spark, d, "documents").select("doc_id", "lang").orderBy(F.md5(F.concat(F.lit("42|"), F.col("doc_id").cast("string"))), "doc_id").limit(100)
 
 
 @query("""SELECT organization_id AS id, 'meeting' AS source FROM commission_meeting_organizations WHERE organization_id IS NOT NULL UNION SELECT transparency_reg_id, 'feedback' FROM hys_feedback_bronze WHERE transparency_reg_id IS NOT NULL""")
@@ -477,9 +480,31 @@ def J15_either_key(spark: SparkSession, d: str) -> DataFrame:
     return J.either_key(h, by_id, by_name, "tr", "org", "resolved").select(F.col("fid").alias("id"), "resolved").distinct()
 
 
-@query()
+def _strict(x: str) -> str:
+    """name_key as SQL."""
+    bare = f"regexp_replace(regexp_replace(trim(lower(coalesce({x}, ''))), '{X.LEGAL_FORMS}', '', 'g'), '\\s*\\(.*?\\)\\s*', ' ', 'g')"
+    word, space = r"\p{L}\p{M}\p{N}\p{Pc}", r"\s\x{0B}\x{85}\p{Z}"
+    return f"regexp_replace(regexp_replace({bare}, '[^{word}{space}]', '', 'g'), '[{space}]+', '', 'g')"
+
+
+_CLEAN = r"""regexp_replace(regexp_replace(regexp_extract(trim(split_part(name, '|', 1)), '(?s)^(.*?)(?:\s*(?:,\s*)?(?:Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Prof\.?|M\.\s|Mme\.?\s)\s.*)?$', 1), '\s*,\s*[A-Z][a-z]+\s+[A-Z][a-z]+(?:,.*)?$', ''), '[, ]+$', '')"""
+_CASCADE = rf"""reg AS (SELECT id, {_strict("name")} AS k, lower(trim(acronym)) AS a, eu_transparency_register_id AS t FROM organizations WHERE id IS NOT NULL),
+ byk AS (SELECT k, max(id) AS id FROM reg WHERE k <> '' GROUP BY 1), bya AS (SELECT a AS k, min(id) AS id FROM reg WHERE a <> '' GROUP BY 1 HAVING min(id) = max(id)), byt AS (SELECT t AS k, max(id) AS id FROM reg WHERE t IS NOT NULL GROUP BY 1),
+ n AS (SELECT DISTINCT trim(coalesce(organization_name, '')) AS name, trim(eu_transparency_register_id) AS told FROM commission_meeting_organizations),
+ c AS (SELECT name, told, {_CLEAN} AS clean, trim(regexp_extract(name, '^(.*?)\s*\(([^)]+)\)\s*$', 1)) AS o, trim(regexp_extract(name, '^(.*?)\s*\(([^)]+)\)\s*$', 2)) AS i FROM n),
+ f AS (SELECT name, told, 0 AS rung, 'tr_id_exact' AS method, 't' AS kind, told AS k FROM c UNION ALL SELECT name, told, 1, 'name_exact', 'k', {_strict("name")} FROM c UNION ALL SELECT name, told, 2, 'cleaned_name', 'k', {_strict("clean")} FROM c WHERE clean <> name
+ UNION ALL SELECT name, told, 3, 'cleaned_acronym', 'a', lower(clean) FROM c WHERE clean <> name UNION ALL SELECT name, told, 4, 'acronym', 'a', lower(name) FROM c UNION ALL SELECT name, told, 5, 'parenthetical', 'k', {_strict("o")} FROM c UNION ALL SELECT name, told, 6, 'parenthetical_acronym', 'a', lower(o) FROM c
+ UNION ALL SELECT name, told, 7, 'parenthetical', 'k', {_strict("i")} FROM c UNION ALL SELECT name, told, 8, 'parenthetical_acronym', 'a', lower(i) FROM c UNION ALL SELECT name, told, 9, 'prefix', 'p', {_strict("clean")} FROM c WHERE length(name) >= 5 AND length({_strict("clean")}) >= 4
+ UNION ALL SELECT name, told, 10, 'tr_id_extracted', 't', regexp_extract(name, '([0-9]{{10,}}-[0-9]{{2}})', 1) FROM c),
+ g AS (SELECT * FROM f WHERE length(k) > 0 AND (name <> '' OR rung = 0)), pre AS (SELECT p.k, min(byk.id) AS id FROM (SELECT DISTINCT k FROM g WHERE kind = 'p') p JOIN byk ON starts_with(byk.k, p.k) GROUP BY 1 HAVING count(*) = 1),
+ ix AS (SELECT 'k' AS kind, k, id FROM byk UNION ALL SELECT 'a', k, id FROM bya UNION ALL SELECT 't', k, id FROM byt UNION ALL SELECT 'p', k, id FROM pre),
+ h AS (SELECT name, told, rung, method, id FROM g JOIN ix USING (kind, k) UNION ALL SELECT name, told, 11, CASE WHEN name = '' THEN 'stub_empty' ELSE 'stub' END, 'org_' || substr(sha256('name_' || CASE WHEN name = '' THEN 'unknown' ELSE {_strict("name")} END), 1, 16) FROM n),
+ cascade AS (SELECT name, told, arg_min(id, rung) AS resolved_id, arg_min(method, rung) AS method FROM h GROUP BY name, told)"""
+
+
+@query(f"WITH {_CASCADE} SELECT name, told, resolved_id, method FROM cascade")
 def J10_resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Every typed name with the body it resolves to; tested rung by rung, as SQL engines disagree on Unicode classes."""
+    """Every typed name with the body it resolves to; also tested rung by rung."""
     c = table(spark, d, "commission_meeting_organizations")
     return J.resolve_cascade(c, table(spark, d, "organizations"), "organization_name", "eu_transparency_register_id")
 
@@ -488,3 +513,21 @@ def J10_resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
 def J23_fill_down(spark: SparkSession, d: str) -> DataFrame:
     m = _meetings(spark, d).where(F.col("commissioner_name").isNotNull() & F.col("host_id").isNotNull() & F.col("meeting_date").isNotNull())
     return m.groupBy(F.lower(F.trim("commissioner_name")).alias("host")).agg(F.max_by("host_id", "meeting_date").alias("host_id"))
+
+
+@query(f"WITH {_CASCADE} SELECT DISTINCT c.meeting_id, resolved_id AS org, method, CASE WHEN c.eu_transparency_register_id IS NOT NULL OR resolved_id IN (SELECT id FROM organizations WHERE eu_transparency_register_id IS NOT NULL) THEN 'High' ELSE 'Low' END AS transparency FROM commission_meeting_organizations c JOIN cascade k ON k.name = trim(coalesce(c.organization_name, '')) AND k.told IS NOT DISTINCT FROM trim(c.eu_transparency_register_id)")
+def E04_meeting_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of meetings with the body that each attendee resolves to, how, and how transparent it is: each body once a meeting."""
+    c = table(spark, d, "commission_meeting_organizations").select("meeting_id", F.trim(F.coalesce("organization_name", F.lit(""))).alias("name"), F.trim("eu_transparency_register_id").alias("told"), F.col("eu_transparency_register_id").isNotNull().alias("with_id"))
+    o = table(spark, d, "organizations")
+    found = J.resolve_cascade(c, o, "name", "told").withColumn("told", F.coalesce("told", F.lit("")))
+    known = o.where(F.col("eu_transparency_register_id").isNotNull()).select(F.col("id").alias("resolved_id"), F.lit(True).alias("registered")).distinct()
+    rows = c.withColumn("told", F.coalesce("told", F.lit(""))).join(found, ["name", "told"]).join(known, "resolved_id", "left")
+    return rows.select("meeting_id", F.col("resolved_id").alias("org"), "method", F.when(F.col("with_id") | F.col("registered"), "High").otherwise("Low").alias("transparency")).distinct()
+
+
+@query(f"WITH {_CASCADE} SELECT method, count(*) AS n, count(DISTINCT resolved_id) AS n_bodies FROM cascade GROUP BY 1")
+def E01_cascade_methods(spark: SparkSession, d: str) -> DataFrame:
+    """How many names each rung of the cascade resolves."""
+    found = J.resolve_cascade(table(spark, d, "commission_meeting_organizations"), table(spark, d, "organizations"), "organization_name", "eu_transparency_register_id")
+    return found.groupBy("method").agg(F.count("*").alias("n"), F.count_distinct("resolved_id").alias("n_bodies"))

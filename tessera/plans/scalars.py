@@ -108,7 +108,8 @@ def H03_meeting_ids(spark: SparkSession, d: str) -> DataFrame:
     return m.select(X.short_hash(F.col("subject"), F.col("meeting_date"), F.col("commissioner_name")).alias("h"))
 
 
-@query()
+@query("""WITH h AS (SELECT id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(id || CASE WHEN title IS NULL THEN '' ELSE '::' || title END)) AS h FROM legal_procedures)
+ SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM h""")
 def H04_uuid5(spark: SparkSession, d: str) -> DataFrame:
     """Version 5 UUIDs; a test compares them with the standard library's."""
     p = table(spark, d, "legal_procedures")
