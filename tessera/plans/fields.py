@@ -14,7 +14,7 @@ from ..session import table
 from .registry import query
 
 #: Unicode's word characters and white space as regular expressions of SQL engines write them.
-_WORD, _SPACE = r"\p{L}\p{M}\p{N}\p{Pc}", r"\s\x{0B}\x{85}\p{Z}"
+_WORD, _SPACE = r"\p{L}\p{N}_", r"\s\x{0B}\x{85}\p{Z}"
 _LEGAL = X.LEGAL_FORMS.replace("'", "''")
 _BARE = f"regexp_replace(regexp_replace(trim(lower(coalesce({{c}}, ''))), '{_LEGAL}', '', 'g'), '\\s*\\(.*?\\)\\s*', ' ', 'g')"
 _STRICT = f"regexp_replace(regexp_replace({_BARE}, '[^{_WORD}{_SPACE}]', '', 'g'), '[{_SPACE}]+', '', 'g')"
@@ -29,7 +29,7 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
 _TYPED = "(SELECT DISTINCT organization_name AS name FROM commission_meeting_organizations WHERE organization_name IS NOT NULL)"
 
 
-@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '[ \\t]+', ' ', 'g')) AS t FROM documents""")
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '[ \\t]+', ' ', 'g'), '^ | $', '', 'g') AS t FROM documents""")
 def C02_without_controls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.without_controls(F.col("text")).alias("t"))
 

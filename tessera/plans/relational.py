@@ -483,7 +483,7 @@ def J15_either_key(spark: SparkSession, d: str) -> DataFrame:
 def _strict(x: str) -> str:
     """name_key as SQL."""
     bare = f"regexp_replace(regexp_replace(trim(lower(coalesce({x}, ''))), '{X.LEGAL_FORMS}', '', 'g'), '\\s*\\(.*?\\)\\s*', ' ', 'g')"
-    word, space = r"\p{L}\p{M}\p{N}\p{Pc}", r"\s\x{0B}\x{85}\p{Z}"
+    word, space = r"\p{L}\p{N}_", r"\s\x{0B}\x{85}\p{Z}"
     return f"regexp_replace(regexp_replace({bare}, '[^{word}{space}]', '', 'g'), '[{space}]+', '', 'g')"
 
 
