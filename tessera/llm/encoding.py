@@ -233,16 +233,33 @@ class Repairer:
         if not len(at):
             return [(0, len(c))] if len(c) == 1 and c[0] == 0xFFFD else []
         bad = self.scores.improbable[place(c[at], c[at + 1])] | (c[at] == 0xFFFD) | (c[at + 1] == 0xFFFD)
-        cuts = np.flatnonzero(np.diff(at) > 6) + 1
+        if not bad.any():
+            return []
         out = []
-        for lo, hi in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(at)]))):
+        for lo, hi in self._blocks(at, bad):
             if bad[lo:hi].any():
-                first = int(at[lo])
-                score = np.full(int(at[hi - 1]) - first + 1, PLAIN)
-                score[at[lo:hi] - first] = np.where(bad[lo:hi], 1.0, -1.0)
-                out += [(first + a, first + b + 1) for a, b in segments(score.tolist())]
+                # plain pairs between two others lie together as one score: they only lower the sum
+                gaps = np.concatenate(([0], np.diff(at[lo:hi]) - 1))
+                spot = np.arange(hi - lo) + np.cumsum(gaps > 0)
+                score = np.zeros(int(spot[-1]) + 1)
+                score[spot] = np.where(bad[lo:hi], 1.0, -1.0)
+                score[spot[gaps > 0] - 1] = PLAIN * gaps[gaps > 0]
+                back = dict(zip(spot.tolist(), at[lo:hi].tolist()))  # a segment begins and ends with an improbable pair
+                out += [(back[a], back[b - 1] + 2) for a, b in segments(score.tolist())]
         return out
 
+    @staticmethod
+    def _blocks(at: np.ndarray, bad: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs beyond ASCII in blocks that no segment can reach over: what all improbable pairs of a block gain is no
+        more than what the plain pairs behind it lose, and a segment's beginnings all have a positive sum."""
+        gained = np.concatenate(([0], np.cumsum(bad)))
+        gaps = np.diff(at) - 1
+        cuts = [0]
+        for k in np.flatnonzero(gaps > 0):
+            if gained[k + 1] - gained[cuts[-1]] <= -PLAIN * gaps[k]:
+                cuts.append(int(k) + 1)
+        return list(zip(cuts, [*cuts[1:], len(at)]))
+
     def repair(self, text: str) -> list[tuple[int, int, str | None, float, str | None]]:
         """(start, end, restored text or None where it is lost, bits gained, mapping) of every garbled run, in order."""
         out: list[tuple[int, int, str | None, float, str | None]] = []

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import bounded_rows
 from .names import allowed, deletes, slips
 from .register import read_register
-from .scans import skip_gram
+from .scans import Model, page_reader, skip_gram
 
 #: Rows of the register (its index is broadcast), and texts that take part in the walks.
 MOST_REGISTER, WALK_TEXTS = 100_000, 2_000  # the texts that all of them together weigh as in the walks
@@ -442,13 +442,14 @@ def token_links(texts: DataFrame, text_cols: list[str], vocabulary: list[str]) -
         known = shared.value
         codes, sums, n = np.zeros(0, np.int64), np.zeros(0), 0
         for batch in batches:
-            found, shares = [codes], [sums]
+            found, shares, new, parts = [codes], [sums], [], []
             for text in batch.iloc[:, 0]:
-                if at := sorted({known[t] for t in _tokens(text) if t in known}):
+                if at := {known[t] for t in _tokens(text) if t in known}:
                     n += 1
-                    i = np.array(at, np.int64)
-                    found.append((i[:, None] * size + i).ravel())
-                    shares.append(np.full(len(i) ** 2, 1 / len(i)))
+                    new += [i * size + j for i in at for j in at]
+                    parts += [1 / len(at)] * len(at) ** 2
+            found.append(np.array(new, np.int64))
+            shares.append(np.array(parts, np.float64))
             codes, inverse = np.unique(np.concatenate(found), return_inverse=True)
             sums = np.bincount(inverse, np.concatenate(shares), len(codes))
         yield pd.DataFrame({"code": np.append(codes, -1), "w": np.append(sums, float(n))})
@@ -479,23 +480,30 @@ def _index(shared, key: str) -> Index:
     return _INDEXES[key]
 
 
-def concepts(df: DataFrame, subject: Column, body: Column, index: Index) -> Column:
-    """array<struct<concept, confidence, how>> of what a subject and a body, read together, name. Nulls name nothing."""
+def concepts(df: DataFrame, subject: Column, body: Column, index: Index, pages: Model | None = None) -> Column:
+    """array<struct<concept, confidence, how>> of what a subject and a body, read together, name. Nulls name nothing.
+
+    With a model of scanned pages, bodies are read without the traces of their pages.
+    """
     import uuid
 
     shared, key = df.sparkSession.sparkContext.broadcast(index), uuid.uuid4().hex  # bounded with the register
+    scanned = df.sparkSession.sparkContext.broadcast(pages) if pages else None  # of bounded size
 
     @F.pandas_udf("array<struct<concept:string,confidence:double,how:string>>")
     def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         idx = _index(shared, key)
         for subjects, bodies in batches:
             a, b = subjects.tolist(), bodies.tolist()
+            if scanned is not None:
+                reader = page_reader(scanned, key)
+                b = [reader.read(x).text if x else x for x in b]
             yield pd.Series(list(chain.from_iterable(idx.about_texts(a[lo : lo + 2000], b[lo : lo + 2000]) for lo in range(0, len(a), 2000))), dtype=object)
 
     return find(subject, body)
 
 
-def match(records: DataFrame, register: DataFrame, index: Index, id_col: str, subject_col: str, body_col: str, date_col: str, before_days: int = 540, after_days: int = 180) -> DataFrame:
+def match(records: DataFrame, register: DataFrame, index: Index, id_col: str, subject_col: str, body_col: str, date_col: str, before_days: int = 540, after_days: int = 180, pages: Model | None = None) -> DataFrame:
     """(record id, procedure_id, confidence, how): each record with every register entry that it is about, once.
 
     One narrow pass over the records; the keys it yields are equi-joined with the register, whose rows are bounded (see
@@ -507,7 +515,7 @@ def match(records: DataFrame, register: DataFrame, index: Index, id_col: str, su
     about = spark.createDataFrame(sorted(set(index.about)) or [("", "", "", 1)], "concept string, procedure_id string, way string, needs int")
     entries = register.groupBy(F.col("id").alias("procedure_id")).agg(F.min("proposal_date").alias("__from"), F.max(F.coalesce("decision_date", F.lit("9999-01-01").cast("date"))).alias("__to"))
     files = F.broadcast(about.join(entries, "procedure_id"))
-    named = records.select(records[id_col].alias("__id"), records[date_col].alias("__date"), F.explode(concepts(records, records[subject_col], records[body_col], index)).alias("__c")).select("__id", "__date", "__c.*")
+    named = records.select(records[id_col].alias("__id"), records[date_col].alias("__date"), F.explode(concepts(records, records[subject_col], records[body_col], index, pages)).alias("__c")).select("__id", "__date", "__c.*")
     found = named.join(files, "concept").where(
         F.col("__date").isNull() | ((F.col("__from").isNull() | (F.col("__date") >= F.date_sub("__from", before_days))) & (F.col("__to") >= F.date_sub("__date", after_days)))
     )

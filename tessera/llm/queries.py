@@ -29,8 +29,7 @@ def _matched(spark: SparkSession, d: str) -> DataFrame:
     model = scans.train(scans.statistics(_minutes(spark, d).select("text"), "text"))
     index = matching.build_index(register, table(spark, d, "procedure_aliases"), meetings, "subject", "points_raised")
     narrow = meetings.select("id", "subject", "meeting_date", "points_raised")
-    narrow = narrow.withColumn("points_raised", F.when(F.length("points_raised") > 0, scans.readings(narrow, F.col("points_raised"), model)["text"]))
-    return matching.match(narrow, register, index, "id", "subject", "points_raised", "meeting_date")
+    return matching.match(narrow, register, index, "id", "subject", "points_raised", "meeting_date", pages=model)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +161,15 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
 
 
+#: Every run of 300 characters of every document by its place (from 0) and two hashes.
+_RUNS = """r AS (SELECT doc_id, i, hash(x) AS h, md5(x) AS m FROM (SELECT doc_id, i, substr(text, CAST(i + 1 AS BIGINT), 300) AS x FROM (SELECT doc_id, text, unnest(range(0, length(text) - 299)) AS i FROM documents WHERE length(text) >= 300)))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": "SELECT DISTINCT feedback_id FROM hys_feedback_bronze WHERE length(feedback_text) > 1500",
+        "p10_found": f"""WITH {_RUNS}, d AS (SELECT DISTINCT doc_id, h, m FROM r) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.h = b.h AND a.m = b.m AND a.doc_id < b.doc_id""",
+        "p10_shares": f"""WITH {_RUNS}, k AS (SELECT h, m FROM r GROUP BY h, m HAVING min(doc_id) < max(doc_id)), s AS (SELECT DISTINCT r.doc_id, r.i FROM r JOIN k ON k.h = r.h AND k.m = r.m), c AS (SELECT doc_id, CAST(sum(least(300, coalesce(lead_i - i, 300))) AS BIGINT) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS lead_i FROM s) GROUP BY 1),
+ p AS (SELECT a.doc_id, count(DISTINCT md5(db.text)) AS n FROM (SELECT DISTINCT doc_id, h, m FROM r) a JOIN (SELECT DISTINCT doc_id, h, m FROM r) b ON a.h = b.h AND a.m = b.m AND a.doc_id <> b.doc_id JOIN documents da ON da.doc_id = a.doc_id JOIN documents db ON db.doc_id = b.doc_id WHERE da.text <> db.text GROUP BY 1), t AS (SELECT text, count(*) - 1 AS n FROM documents WHERE length(text) >= 300 GROUP BY 1)
+ SELECT d.doc_id, CAST(coalesce(length(d.text), 0) AS INTEGER) AS n_chars, coalesce(c.n, 0) AS shared_chars, CASE WHEN length(d.text) > 0 THEN coalesce(c.n, 0) / length(d.text) ELSE 0.0 END AS share, coalesce(t.n, 0) AS n_copies, coalesce(p.n, 0) AS n_sharing_texts FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.text = d.text LEFT JOIN p ON p.doc_id = d.doc_id""",
     }

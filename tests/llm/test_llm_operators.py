@@ -181,6 +181,24 @@ def test_found_as_passages(spark):
     assert encoding.Repairer(scores).garbled(["…"]).tolist() == [False] and encoding.Repairer(scores).repair("…") == []
 
 
+def test_blocks_keep_segments():
+    """Segments of texts are those of all pairs' scores at once, wherever texts are cut into blocks for it."""
+    import numpy as np
+
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice("aaaabéñ") if rng.random() < 0.6 else rng.choice("abc") * rng.randint(1, 9) for _ in range(rng.randint(2, 60)))
+        c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        improbable = np.zeros(encoding.PLACES, bool)
+        improbable[encoding.place(np.arange(128), np.full(128, ord("é")))] = True
+        improbable[encoding.place(np.full(128, ord("é")), np.arange(128))] = True
+        improbable[encoding.place(np.array([233]), np.array([233]))] = True
+        r = encoding.Repairer(encoding.Scores(np.zeros(encoding.PLACES, np.float32), improbable, -9.0))
+        pairs = (c[:-1] > 127) | (c[1:] > 127)
+        score = np.where(pairs, np.where(improbable[encoding.place(c[:-1], c[1:])], 1.0, -1.0), encoding.PLAIN)
+        assert r.segments_of(c) == [(a, b + 1) for a, b in encoding.segments(score.tolist())], text
+
+
 def test_segments_as_brute_force():
     rng = random.Random(2)
     for _ in range(200):
