@@ -112,6 +112,55 @@ def test_reciprocal_against_loops(spark):
     assert got == sorted(want)
 
 
+def test_blocks_against_loops(spark, monkeypatch):
+    """Ranks and neighbours over several blocks of both sides; null vectors and labels stay out."""
+    import numpy as np
+
+    monkeypatch.setattr(E, "BLOCK", 7)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(50, 6))
+    v[9] = v[8]  # ties
+    labels = rng.integers(0, 3, 50)
+    df = spark.createDataFrame([(i, int(labels[i]), [float(x) for x in v[i]]) for i in range(50)] + [(98, 1, None), (99, None, [0.1] * 6)], "id long, label long, e array<double>")
+    queries = df.where("id < 20 OR id > 90")
+    s = np.round(np.array([[v[i] @ v[c] for c in range(50)] + [v[i] @ np.full(6, 0.1)] for i in range(20)]), 6)
+    ids = [*range(50), 99]
+    order = {q: sorted((c for c in range(51) if ids[c] != q), key=lambda c: (-s[q, c], ids[c])) for q in range(20)}
+    got = {r["q"]: r["rank"] for r in E.label_ranks(queries, df, "id", "id", "e", "label").collect()}
+    assert got == {q: next(k for k, c in enumerate(order[q], 1) if c < 50 and labels[c] == labels[q]) for q in range(20)}
+    nearest = {r["q"]: r["c"] for r in E.nearest_items(queries, df, "id", "id", "e").collect() if r["q"] < 50}
+    assert nearest == {q: ids[order[q][0]] for q in range(20)}
+    back = {}
+    for r in E.nearest_queries(df.where("id < 20"), df, "id", "id", "e", 3).collect():
+        back.setdefault(r["c"], {})[r["place"]] = r["q"]
+    assert back == {ids[c]: dict(enumerate(sorted((q for q in range(20) if q != ids[c]), key=lambda q: (-s[q, c], q))[:3], 1)) for c in range(51)}
+    assert E.scored_pairs(queries.limit(0), df, "id", "id", "e", 0.0).count() == 0 and E.label_ranks(queries, df.limit(0), "id", "id", "e", "label").count() == 0
+
+
+def test_decisions(spark):
+    from tessera.operators import decisions as K
+
+    items = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("c", 0), (None, 0)], "batch string, pos int")
+    answers = spark.createDataFrame([("a", ["HIGH", "low", "high"]), ("b", []), ("c", ["high "])], "batch string, answers array<string>")
+    read = lambda df: {(r["batch"], r["pos"]): r["d"] for r in df.withColumn("d", K.confirmed(F.col("answer"), F.lit("x"))).collect()}
+    assert read(K.lined_up(items, answers, "batch", "pos")) == {("a", 0): "x", ("a", 1): "no_match", ("b", 0): "no_match", ("c", 0): "x", (None, 0): "no_match"}
+    assert read(K.lined_up(items, answers, "batch", "pos", strict=True))["a", 0] == "no_match"
+    rows = spark.createDataFrame([(" aligned",), ("other",), (None,)], "x string").select(K.labelled(F.col("x")).alias("a"), K.labelled(F.col("x"), None).alias("b")).collect()
+    assert [tuple(r) for r in rows] == [("ALIGNED", "ALIGNED"), ("NOISE", None), ("NOISE", None)]
+    themes = {"one": ["foo"], "two": ["bar"]}
+    rows = spark.createDataFrame([(["two", "zz"], "foo"), (["zz"], "foo"), (None, "x"), (["one"], None)], "a array<string>, t string").select(K.known_themes(F.col("a"), F.col("t"), themes).alias("k")).collect()
+    assert [r["k"] for r in rows] == [["two"], ["one"], [], ["one"]]
+    assert K.relevant(spark.createDataFrame([(True,), (False,), (None,)], "f boolean"), "f").count() == 2
+
+
+def test_linked_details(spark):
+    from tessera.sources import connectors as C
+
+    good = json.dumps({"data": [{"id": "p", "status": "x/open", "consists_of": [{"activity_date": "2", "had_activity_type": "x/B"}, {"activity_date": "1", "had_activity_type": "x/A"}], "had_participation": [{"had_participant_person": "person/7", "participation_role": "r/LEAD"}]}]})
+    got = C.linked_details(spark.createDataFrame([(good,), ("{no",), (None,)], "j string"), "j").collect()
+    assert len(got) == 1 and [tuple(e) for e in got[0]["events"]] == [("1", "A"), ("2", "B")] and tuple(got[0]["participations"][0]) == ("7", "lead") and got[0]["status"] == "open"
+
+
 def test_chunks():
     text = ("Para one. " * 30 + "\n\n") * 8
     pieces = P.recursive_chunks(text, 500, 80)
