@@ -8,6 +8,7 @@ functions of SQL, so it runs inside the JVM and in a single narrow pass.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -26,9 +27,9 @@ ATTACHED = r"(?i)^(?:(?:the |an )?(?:(?:eu|european|brussels)[ -])?(?:liaison |r
 # Marks that can't occur in the data: they are removed from it first.
 STRONG_MARK, COMMA_MARK, ESCAPE, OPEN, CLOSE, CUT = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005", "\u0006"
 
-#: Rows a register may have for its words to be used as literals of the plan.
-MOST_REGISTER = 50_000
-MOST_WORDS = 2_000
+#: Rows a register may have, as many as names can be linked to, and words of it that become a literal of the plan.
+MOST_REGISTER = 200_000
+MOST_WORDS = 50_000
 
 
 @dataclass
@@ -137,12 +138,19 @@ def _close(x: Column, y: Column) -> Column:
     return (F.abs(F.length(x) - F.length(y)) <= most) & (F.levenshtein(x, y) <= most)
 
 
-def _as_long(words: list[str], size: Column) -> Column:
-    """Those of some words whose length differs from `size` by no more than two, by a map that has them for each length."""
-    lengths = {n for w in words for n in range(max(1, len(w) - 2), len(w) + 3)}
-    held = {n: [w for w in words if abs(len(w) - n) <= 2] for n in sorted(lengths)}
-    by_length = F.create_map(*[v for n, ws in held.items() for v in (F.lit(n), F.array(*[F.lit(w) for w in ws]))])
-    return F.coalesce(F.try_element_at(by_length, size), F.array().cast("array<string>"))
+def _constant(lists: dict, empty: str) -> Callable[[Column], Column]:
+    """A lookup in a constant map of lists, empty where a key is missing. The map is one literal of the plan, however large."""
+    held = F.from_json(F.lit(json.dumps({str(k): v for k, v in lists.items()})), f"map<string,{empty}>")
+    return lambda key: F.coalesce(F.try_element_at(held, key.cast("string")), F.array().cast(empty))
+
+
+def _as_long(words: list[str]) -> Callable[[Column], Column]:
+    """A lookup, by a length, of those of some words whose length differs by no more than two."""
+    held: dict[int, list[str]] = {}
+    for w in words:
+        for n in range(max(1, len(w) - 2), len(w) + 3):
+            held.setdefault(n, []).append(w)
+    return _constant(held, "array<string>")
 
 
 def _joined(values: Column, hints: Hints) -> Column:
@@ -153,17 +161,17 @@ def _joined(values: Column, hints: Hints) -> Column:
     behind: dict[str, list[str]] = {}
     for x, y in hints.around:
         behind.setdefault(x, []).append(y)
+    given, before_comma, follows = _as_long(hints.given), _as_long(sorted(behind)), _constant(behind, "array<string>")
 
     def one_name(both: Column) -> Column:
         l, r = both["l"], both["r"]  # noqa: E741
         out = r.rlike(ATTACHED) | (r.rlike(r"(?U)^(?=.*\s)[^,]*\s(?:of|of the|for|des|de|der|dos|degli)$") & (l != "")) | (single(l) & r.rlike(r"(?U)^\S+ (?:&|and|und|et|e|y) \S+$"))
         if hints.given:
-            out = out | (single(l) & single(r) & (F.length(r) > 2) & F.exists(_as_long(hints.given, F.length(r)), lambda g: _close(r, g)))
+            out = out | (single(l) & single(r) & (F.length(r) > 2) & F.exists(given(F.length(r)), lambda g: _close(r, g)))
         if behind:
             after, before = F.regexp_extract(r, r"^(\S+)", 1), F.regexp_extract(l, r"(\S+)$", 1)
-            follows = F.create_map(*[v for x, ys in behind.items() for v in (F.lit(x), F.array(*[F.lit(y) for y in ys]))])
-            near = _let(before, lambda b: F.filter(_as_long(sorted(behind), F.length(b)), lambda x: _close(b, x)))
-            out = out | F.exists(near, lambda x: F.exists(F.element_at(follows, x), lambda y: _close(after, y)))
+            near = _let(before, lambda b: F.filter(before_comma(F.length(b)), lambda x: _close(b, x)))
+            out = out | F.exists(near, lambda x: F.exists(follows(x), lambda y: _close(after, y)))
         return out & ~literal(l) & ~literal(r)
 
     def step(acc: Column, v: Column) -> Column:

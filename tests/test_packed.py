@@ -84,3 +84,17 @@ def test_hints_of_too_large_registers(spark, monkeypatch):
             m.setattr(packed, bound, 1)
             with pytest.raises(ValueError):
                 packed.register_hints(register)
+
+
+def test_large_register(spark):
+    """A register of 60,000 rows with thousands of given names gives the same answers as a small one."""
+    from pyspark.sql import functions as F
+
+    names = [f"{a}{b}{c}ik" for a in "bcdfghjklmnprstv" for b in "aeiou" for c in "bcdfghjklmnprstvwxz"]
+    small = [("Małgorzata Foo", "self_employed"), ("Council of Food, Feed Traders", "association")]
+    people = spark.createDataFrame([(f"{n} Foo", "self_employed") for n in names] + small, "name string, organization_type string")
+    bodies = spark.range(60_000).select(F.concat(F.lit("Body "), F.col("id").cast("string")).alias("name"), F.lit("company").alias("organization_type"))
+    raws = ["Candzak, Malgorzata, B Ltd", "A of Food, Feed and Fibre, B", "X, Y"]
+    df = spark.createDataFrame(list(enumerate(raws)), "id int, raw string")
+    answers = [sorted(map(tuple, unpacked(df, "id", "raw", register_hints(reg)).collect())) for reg in (people.unionByName(bodies), spark.createDataFrame(small, "name string, organization_type string"))]
+    assert answers[0] == answers[1] and (0, 1, "Candzak, Malgorzata") in answers[0] and (1, 1, "A of Food, Feed and Fibre") in answers[0]
