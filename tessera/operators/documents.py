@@ -290,6 +290,14 @@ def glued_split(text: str, names: set[str]) -> list[str]:
     return [*out, held.strip()] if held.strip() else out
 
 
+def contents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, pos, number, level, title of the numbered headings of a text, in their order: "2.1. Scope" has level 2."""
+    lines = df.where(df[text_col].isNotNull()).select(df[id_col].alias("__id"), F.posexplode(F.split(df[text_col], "\n")).alias("pos", "line"))
+    rx = r"^([0-9]+(?:\.[0-9]+)*)\.? +([A-Z].*)$"
+    heads = lines.where(F.col("line").rlike(rx)).select("__id", "pos", F.regexp_extract("line", rx, 1).alias("number"), F.regexp_extract("line", rx, 2).alias("title"))
+    return heads.select(F.col("__id").alias(id_col), "pos", "number", F.size(F.split("number", r"\.")).alias("level"), "title")
+
+
 def glued_names(text: Column, names: list[str]) -> Column:
     """glued_split as a column, for a dictionary of bounded size."""
     known = set(names)

@@ -24,14 +24,14 @@ def unique_keys(df: DataFrame, key: str, value: str) -> DataFrame:
     return by_key.where(F.col(value) == F.col("__other")).drop("__other")
 
 
-def resolve_cascade(names: DataFrame, register: DataFrame, name_col: str, told_col: str, id_col: str = "id", reg_name: str = "name", acronym: str = "acronym", reg_id: str = "eu_transparency_register_id", compat: bool = False) -> DataFrame:
+def resolve_cascade(names: DataFrame, register: DataFrame, name_col: str, told_col: str, id_col: str = "id", reg_name: str = "name", acronym: str = "acronym", reg_id: str = "eu_transparency_register_id", compat: bool = False, only: set[str] | None = None) -> DataFrame:
     """Each distinct (name, told register id) with the body it resolves to and the rung that did it.
 
     Rungs, the first that hits wins: register id, strict key, strict key of the cleaned name, acronym of the cleaned
     name, acronym, either side of trailing parentheses (key, then acronym), a prefix with one continuation, a
     register id inside the name, else a stub. Every distinct name is exploded to its keys, which meet one index of all
     kinds of keys in one equi-join; the lowest rung is taken by an aggregate. With compat an empty name becomes the
-    unknown stub before its register id is looked at.
+    unknown stub before its register id is looked at. `only` names the methods that are tried, all by default.
     """
     reg = register.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), X.name_key(F.col(reg_name)).alias("__key"), F.lower(F.trim(F.col(acronym))).alias("__acr"), F.col(reg_id).alias("__tr"))
     by_key = reg.where(F.col("__key") != "").groupBy("__key").agg(F.max("__id").alias("__id"))
@@ -47,8 +47,9 @@ def resolve_cascade(names: DataFrame, register: DataFrame, name_col: str, told_c
         ("tr_id_exact", "t", F.col("told")), ("name_exact", "k", X.name_key(F.col("name"))), ("cleaned_name", "k", F.when(changed, X.name_key(clean))), ("cleaned_acronym", "a", F.when(changed, F.lower(clean))), ("acronym", "a", F.lower("name")), ("parenthetical", "k", X.name_key(outer)), ("parenthetical_acronym", "a", F.lower(outer)),
         ("parenthetical", "k", X.name_key(inner)), ("parenthetical_acronym", "a", F.lower(inner)), ("prefix", "p", F.when((F.length("name") >= 5) & (F.length(X.name_key(clean)) >= 4), X.name_key(clean))), ("tr_id_extracted", "t", X.register_id(F.col("name"))),
     ]
+    rungs = [(m if not only or m in only else None, kind, key) for m, kind, key in rungs]
     named = F.col("name") != ""
-    forms = n.select("name", "told", F.explode(F.array(*[F.struct(F.lit(i).alias("rung"), F.lit(m).alias("method"), F.lit(kind).alias("kind"), (key if i == 0 else F.when(named, key)).alias("key")) for i, (m, kind, key) in enumerate(rungs)])).alias("f")).select("name", "told", "f.*")
+    forms = n.select("name", "told", F.explode(F.array(*[F.struct(F.lit(i).alias("rung"), F.lit(m).alias("method"), F.lit(kind).alias("kind"), (key if i == 0 else F.when(named, key)).alias("key")) for i, (m, kind, key) in enumerate(rungs) if m])).alias("f")).select("name", "told", "f.*")
     forms = forms.where(F.length("key") > 0)  # keys that are missing go nowhere
     cut = lambda c: F.substring(c, 1, 4)
     runs = forms.where("kind = 'p'").select("key").distinct().join(by_key.select(cut("__key").alias("__cut"), "__key", "__id"), cut("key") == F.col("__cut")).where(F.expr("startswith(__key, key)"))

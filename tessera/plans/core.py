@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import packed
+from ..operators.joins import resolve_cascade
 from ..operators.packed import register_hints, unpacked
 from ..session import table
 from . import fields, ingest, more, relational, scalars, steps, texts  # noqa: F401  (they register their queries)
@@ -51,11 +53,34 @@ def _values_sql(result: str) -> str:
  j AS (SELECT id, list_reduce(v, lambda acc, v: {join}, CAST([] AS VARCHAR[])) AS j FROM v, hints), o AS (SELECT id, list_filter(list_transform(j, lambda x: {clean}), lambda x: x <> '') AS o FROM j) {result}"""
 
 
+def C18_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Values that hold a comma because they are one name, in each packed field that has a comma."""
+    m = table(spark, d, "commission_meetings").where(F.col("organizations_raw").contains(",")).select("id", "organizations_raw").distinct()
+    v = packed.unpack(F.col("organizations_raw"), register_hints(table(spark, d, "organizations")))
+    return m.select("id", F.size(F.filter(v, lambda x: x.contains(","))).alias("n"))
+
+
+def E05_meeting_links(spark: SparkSession, d: str) -> DataFrame:
+    """Meetings with the bodies of their packed fields, resolved by the cascade: each body once a meeting."""
+    hints = register_hints(table(spark, d, "organizations"))
+    values = unpacked(table(spark, d, "commission_meetings"), "id", "organizations_raw", hints, "name").select("id", F.trim("name").alias("name")).distinct()
+    found = resolve_cascade(values.withColumn("told", F.lit(None).cast("string")), table(spark, d, "organizations"), "name", "told")
+    return values.join(found.drop("told"), "name").select(F.col("id").alias("meeting_id"), F.col("resolved_id").alias("org"), "method").distinct()
+
+
+def _links_sql() -> str:
+    by_table = "SELECT DISTINCT trim(coalesce(organization_name, '')) AS name, trim(eu_transparency_register_id) AS told FROM commission_meeting_organizations"
+    assert by_table in relational._CASCADE
+    cascade = relational._CASCADE.replace(by_table, "SELECT DISTINCT trim(x) AS name, CAST(NULL AS VARCHAR) AS told FROM (SELECT unnest(o) AS x FROM o)").replace(" c AS (SELECT name, told", " cc AS (SELECT name, told").replace("FROM c\n", "FROM cc\n").replace("FROM c)", "FROM cc)").replace("FROM c ", "FROM cc ")
+    return _values_sql("SELECT DISTINCT m.id AS meeting_id, k.resolved_id AS org, k.method FROM (SELECT id, unnest(o) AS x FROM o) m JOIN cascade k ON k.name = trim(m.x)").replace(" SELECT DISTINCT m.id", f", {cascade} SELECT DISTINCT m.id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found} | QUERIES
+    return {"p4_found": p4_found, "C18_rejoined": C18_rejoined, "E05_meeting_links": E05_meeting_links} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     rows = "SELECT DISTINCT id AS meeting_id, CAST(generate_subscripts(o, 1) AS INTEGER) AS pos, unnest(o) AS organization FROM o WHERE len(o) >= 2"
     sizes = "SELECT id, CAST(len(o) AS INTEGER) AS n FROM o UNION ALL SELECT DISTINCT id, NULL FROM commission_meetings WHERE organizations_raw IS NULL"
-    return {"p4_found": _values_sql(rows), "C16_split_lists": _values_sql(sizes)} | ORACLES
+    rejoined = "SELECT o.id, CAST(len(list_filter(o, lambda x: contains(x, ','))) AS INTEGER) AS n FROM o JOIN (SELECT DISTINCT id, organizations_raw FROM commission_meetings) m ON m.id = o.id WHERE contains(m.organizations_raw, ',')"
+    return {"C18_rejoined": _values_sql(rejoined), "E05_meeting_links": _links_sql(), "p4_found": _values_sql(rows), "C16_split_lists": _values_sql(sizes)} | ORACLES

@@ -457,3 +457,32 @@ def DP13_amendment_rows(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "legal_procedures").where("title IS NOT NULL AND NOT contains(title, 'Justification')")
     text = F.concat(F.lit("Intro\nAmendment 12\nJane Doe, John Roe\n\nArticle 3\n"), F.trim(F.regexp_replace("title", r"\s+", " ")), F.lit("\nJustification\nBecause."))
     return P.amendment_rows(p.select("id", text.alias("t")), "id", "t").select("id", "number", "authors", "target", "body")
+
+
+@query("""WITH RECURSIVE r AS (SELECT doc_id, i, length(x) AS s FROM (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS x FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS p FROM documents WHERE text IS NOT NULL))),
+ f AS (SELECT doc_id, i, CAST(0 AS BIGINT) AS bundle, s AS held FROM r WHERE i = 1 UNION ALL SELECT r.doc_id, r.i, CASE WHEN f.held > 0 AND (f.held + r.s > 1500 OR f.held >= 1125) THEN f.bundle + 1 ELSE f.bundle END, CASE WHEN f.held > 0 AND (f.held + r.s > 1500 OR f.held >= 1125) THEN r.s ELSE f.held + r.s END FROM f JOIN r ON r.doc_id = f.doc_id AND r.i = f.i + 1)
+ SELECT doc_id, bundle, count(*) AS n_sections, CAST(sum(s) AS BIGINT) AS n_chars FROM f JOIN r USING (doc_id, i) GROUP BY 1, 2""")
+def DP05_section_bundles(spark: SparkSession, d: str) -> DataFrame:
+    """Sections bundled to chunks: a chunk closes at three quarters of its size, or when the next section doesn't fit."""
+    from ..operators.windows import bundled
+
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    sections = docs.select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("i", "x")).select("doc_id", F.col("i").cast("long").alias("i"), F.length("x").alias("s"))
+    placed = bundled(sections, "doc_id", "i", "s", 1500).join(sections, ["doc_id", "i"])
+    return placed.groupBy("doc_id", "bundle").agg(F.count("*").alias("n_sections"), F.sum("s").alias("n_chars"))
+
+
+@query("""SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, regexp_extract(x, '^([0-9]+(?:\\.[0-9]+)*)\\.? +([A-Z].*)$', 1) AS number, CAST(len(string_split(regexp_extract(x, '^([0-9]+(?:\\.[0-9]+)*)\\.? +([A-Z].*)$', 1), '.')) AS INTEGER) AS level, regexp_extract(x, '^([0-9]+(?:\\.[0-9]+)*)\\.? +([A-Z].*)$', 2) AS title
+ FROM (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS x FROM (SELECT doc_id, string_split(text || chr(10) || '1.2. Scope ' || CAST(doc_id AS VARCHAR), chr(10)) AS p FROM documents WHERE text IS NOT NULL)) WHERE regexp_matches(x, '^([0-9]+(?:\\.[0-9]+)*)\\.? +([A-Z].*)$')""")
+def DP08_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered headings of working documents."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\n1.2. Scope "), F.col("doc_id").cast("string")).alias("t"))
+    return P.contents(docs, "doc_id", "t")
+
+
+@query("""SELECT id, CAST(1 AS INTEGER) AS sort_order, 'article' AS kind, '1' AS number, substr('Scope of ' || id || chr(10) || repeat('word ', 30) || 'end.', 1, 60) AS text FROM legal_procedures""")
+def DP12_provision_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Provisions of a text as rows: short ones are left out, long ones cut."""
+    text = F.concat(F.lit("Short\nArticle 1 Scope of "), "id", F.lit("\n"), F.repeat(F.lit("word "), 30), F.lit("end.\nArticle 2\nToo short"))
+    rows = P.provisions(table(spark, d, "legal_procedures").select("id", text.alias("t")), "id", "t", least=11, most=60)
+    return rows.select("id", "sort_order", "kind", "number", "text")

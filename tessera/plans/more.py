@@ -16,7 +16,7 @@ from ..operators import linking as L
 from ..operators import merge as M
 from ..operators import similarity as E
 from ..session import stored, table
-from .registry import query
+from .registry import ORACLES, query
 from .relational import _MEETINGS, _dyads, _meetings
 from .scalars import _PAIRS
 
@@ -344,3 +344,16 @@ def X03_bootstrap_f1(spark: SparkSession, d: str) -> DataFrame:
         raise ValueError("the gold set has more than 100000 rows")
     low, high = S.bootstrap_f1([r[0] for r in rows], [r[1] for r in rows], 500)
     return spark.createDataFrame([(len(rows), low, high)], "n int, low double, high double")
+
+
+@query(f"SELECT name, id, score FROM ({ORACLES['E08_fuzzy_candidates']}) WHERE rank = 1")
+def L04_best_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The best candidate of every typed name."""
+    return L.fuzzy_candidates(table(spark, d, "hys_feedback_bronze"), table(spark, d, "organizations"), "organisation_name", "name", "id", top=1, reg_acronym="acronym").select("name", "id", "score")
+
+
+@query(f"SELECT record, entry, method FROM ({ORACLES['E14_title_links']}) WHERE is_primary")
+def E13_primary_links(spark: SparkSession, d: str) -> DataFrame:
+    """The file that each meeting is matched to, where it is matched."""
+    links = L.link_titles(_meetings(spark, d), table(spark, d, "legal_procedures"), table(spark, d, "procedure_aliases"), "id", "subject", "meeting_date")
+    return links.where("is_primary").select("record", "entry", "method")

@@ -531,3 +531,17 @@ def E01_cascade_methods(spark: SparkSession, d: str) -> DataFrame:
     """How many names each rung of the cascade resolves."""
     found = J.resolve_cascade(table(spark, d, "commission_meeting_organizations"), table(spark, d, "organizations"), "organization_name", "eu_transparency_register_id")
     return found.groupBy("method").agg(F.count("*").alias("n"), F.count_distinct("resolved_id").alias("n_bodies"))
+
+
+@query(f"WITH {_CASCADE.replace("(name <> '' OR rung = 0)", "name <> ''")} SELECT name, told, resolved_id, method FROM cascade")
+def E02_older_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """The cascade as it was: an empty name is the unknown stub, whatever its register id."""
+    return J.resolve_cascade(table(spark, d, "commission_meeting_organizations"), table(spark, d, "organizations"), "organization_name", "eu_transparency_register_id", compat=True)
+
+
+@query(f"WITH {_CASCADE.replace('g AS (SELECT * FROM f WHERE', 'g AS (SELECT * FROM f WHERE rung IN (0, 1, 9) AND')} SELECT name, told, CASE WHEN starts_with(method, 'stub') THEN NULL ELSE resolved_id END AS resolved_id, CASE WHEN starts_with(method, 'stub') THEN 'unmatched' ELSE method END AS method FROM cascade")
+def E03_short_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """The older matcher of the commission's meetings: register id, name, prefix, else unmatched."""
+    found = J.resolve_cascade(table(spark, d, "commission_meeting_organizations"), table(spark, d, "organizations"), "organization_name", "eu_transparency_register_id", only={"tr_id_exact", "name_exact", "prefix"})
+    stub = F.col("method").startswith("stub")
+    return found.select("name", "told", F.when(~stub, F.col("resolved_id")).alias("resolved_id"), F.when(stub, "unmatched").otherwise(F.col("method")).alias("method"))
