@@ -304,7 +304,9 @@ def C16_split_lists(spark: SparkSession, d: str) -> DataFrame:
     return m.select("id", F.size(unpack(F.col("organizations_raw"), register_hints(table(spark, d, "organizations")))).alias("n"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT id, regexp_extract_all(lower(coalesce(title, '')), '[\p{L}\p{N}_]+') AS x, regexp_extract_all(lower(coalesce(description, '')), '[\p{L}\p{N}_]+') AS y FROM legal_procedures), k AS (SELECT id, len(x) AS nx, len(y) AS ny, list_transform(x[1:150], lambda a: [CAST(coalesce(list_position(y[1:150], a), 0) AS INTEGER)]) AS i, list_transform(y[1:150], lambda b: CAST(list_position(y[1:150], b) AS INTEGER)) AS j FROM w),
+ c AS (SELECT id, nx, ny, list_reduce(i, lambda old, a: list_reduce(list_transform(range(1, len(j) + 1), lambda n: [CAST(n AS INTEGER)]), lambda row, n: list_append(row, CASE WHEN j[n[1]] = a[1] THEN old[n[1]] + 1 ELSE greatest(old[n[1] + 1], row[len(row)]) END), [CAST(0 AS INTEGER)]), list_transform(range(0, len(j) + 1), lambda n: CAST(0 AS INTEGER))) AS f FROM k),
+ r AS (SELECT id, CASE WHEN nx = 0 OR ny = 0 OR f[len(f)] = 0 THEN 0.0 ELSE round(2.0 * f[len(f)] / ny * f[len(f)] / nx / (f[len(f)] / ny + f[len(f)] / nx), 6) END AS rouge FROM c) SELECT id, CAST(rouge AS DOUBLE) AS rouge, rouge >= 0.30 AS paraphrase FROM r""")
 def E17_rouge(spark: SparkSession, d: str) -> DataFrame:
     """ROUGE-L of each file's title and description, as a paraphrase flag at 0.30; tested on a fixture."""
 

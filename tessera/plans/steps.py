@@ -166,9 +166,9 @@ def U04_intersections(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT DISTINCT id, CAST(epoch(created_at) AS BIGINT) AS at, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS utc FROM commission_meetings WHERE created_at IS NOT NULL""")
 def D07_utc(spark: SparkSession, d: str) -> DataFrame:
-    """Times as UTC seconds and text; the session's time zone is UTC."""
+    """Times without a zone as UTC seconds and text, whatever the session's zone."""
     m = table(spark, d, "commission_meetings").where("created_at IS NOT NULL")
-    return m.select("id", F.unix_timestamp(F.to_utc_timestamp(F.col("created_at").cast("timestamp"), "UTC")).alias("at"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc")).distinct()
+    return m.select("id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', created_at) AS at"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc")).distinct()
 
 
 @query("""SELECT country, count(*) FILTER (website IS NOT NULL) AS n, round(100.0 * count(*) FILTER (website IS NOT NULL) / count(*), 6) AS percent FROM organizations GROUP BY 1""")
