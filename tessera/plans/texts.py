@@ -39,12 +39,25 @@ def DP01_chunk_records(spark: SparkSession, d: str) -> DataFrame:
     return T.chunk_records(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+_TRIM = r"regexp_replace({x}, '^[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+|[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+$', '', 'g')"
+_HEADER = r"^\s*(CHAPTER|TITLE|SECTION|Section|Chapter|Title|Article|Part|PART|ANNEX|Annex)\s+([0-9IVXLC]+)\b[ \t]*(.*)$"
+_LINE = "CASE WHEN kind IN ('article', 'annex') THEN h3 WHEN kind = 'recital' THEN r2 ELSE line END"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, i, line, regexp_extract(line, '{_HEADER}', 1) AS h1, regexp_extract(line, '{_HEADER}', 2) AS h2, regexp_extract(line, '{_HEADER}', 3) AS h3, regexp_extract(line, '^\s*\(([0-9]+)\)\s+(.*)$', 1) AS r1, regexp_extract(line, '^\s*\(([0-9]+)\)\s+(.*)$', 2) AS r2 FROM (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS line FROM (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS p FROM documents WHERE text IS NOT NULL AND text <> ''))),
+ k AS (SELECT *, CASE WHEN lower(h1) IN ('chapter', 'title', 'section', 'part') THEN 'context' WHEN lower(h1) = 'article' THEN 'article' WHEN h1 <> '' THEN 'annex' WHEN r1 <> '' AND count(*) FILTER (lower(h1) IN ('article', 'annex')) OVER (PARTITION BY doc_id ORDER BY i) = 0 THEN 'recital' ELSE 'line' END AS kind FROM l),
+ g AS (SELECT *, count(*) FILTER (kind IN ('article', 'annex', 'recital')) OVER w AS part, last_value(CASE WHEN kind = 'context' THEN trim(upper(h1[1:1]) || lower(h1[2:]) || ' ' || h2 || ' ' || h3) END IGNORE NULLS) OVER w AS context FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ p AS (SELECT doc_id, part, coalesce(max(kind) FILTER (kind NOT IN ('line', 'context')), 'preamble') AS kind, coalesce(max(CASE WHEN kind = 'recital' THEN r1 ELSE h2 END) FILTER (kind NOT IN ('line', 'context')), '') AS number, coalesce(max(context) FILTER (kind = 'article'), '') AS context, coalesce(string_agg({_LINE}, chr(10) ORDER BY i) FILTER (kind <> 'context' AND {_LINE} <> ''), '') AS t FROM g GROUP BY 1, 2),
+ o AS (SELECT doc_id, kind, number, context, {_TRIM.format(x="t")} AS t, part FROM p), s AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INTEGER) AS sort_order FROM o WHERE t <> '' OR kind <> 'preamble') SELECT doc_id, sort_order, kind, number, context, substr(t, 1, 10000) AS text FROM s WHERE length(t) >= 11""")
 def DP04_provisions(spark: SparkSession, d: str) -> DataFrame:
     return T.provisions(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query(rf"""WITH b AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '(?m)^\s*Amendment\s+(\d+)\s*$', chr(1) || '\1' || chr(2), 'g'), chr(1))[2:]) AS b FROM documents WHERE text IS NOT NULL),
+ l AS (SELECT doc_id, CAST(split_part(b, chr(2), 1) AS INTEGER) AS number, list_transform(string_split({_TRIM.format(x="split_part(b, chr(2), 2)")}, chr(10)), lambda x: {_TRIM.format(x="x")}) AS x FROM b),
+ a AS (SELECT *, coalesce(list_position(list_transform(x, lambda y: regexp_matches(y, '(?i)^(article|recital|annex|title|citation|paragraph)\b')), true), 0) AS k FROM l),
+ r AS (SELECT doc_id, number, CASE WHEN k > 1 THEN array_to_string(list_filter(x[1:k - 1], lambda y: y <> ''), ', ') ELSE '' END AS authors, CASE WHEN k > 0 THEN x[k] ELSE '' END AS target, regexp_replace({_TRIM.format(x="array_to_string(x[k + 1:], chr(10))")}, '(?im)^\s*or\.\s*\w{{2}}\s*$', '', 'g') AS rest FROM a)
+ SELECT doc_id, number, authors, target, {_TRIM.format(x="split_part(rest, 'Justification', 1)")} AS body, CASE WHEN contains(rest, 'Justification') THEN {_TRIM.format(x="rest[strpos(rest, 'Justification') + 13:]")} ELSE '' END AS justification FROM r""")
 def DP11_amendments(spark: SparkSession, d: str) -> DataFrame:
     return T.amendment_rows(table(spark, d, "documents"), "doc_id", "text")
 
