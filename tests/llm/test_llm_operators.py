@@ -277,6 +277,26 @@ def test_links(spark):
     assert names.link(df, ["key"], "name", names.lexicon(reg.limit(0))).count() == 0
 
 
+def test_words_that_many_bodies_have():
+    """A farther token is read where all its other words are common to hundreds of bodies."""
+    words = [f"{a}{b}{c}{d}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs" for d in "abei"]
+    lex = names.Lexicon([(f"b{i}", f"European Federation {w.title()}ton Makers", None) for i, w in enumerate(words)] + [("g", "European Federation Glass Makers", None)])
+    assert max(len(x) for x in lex.bodies.values()) > 400
+    assert {f for f, *_ in lex.rewritings("European Federation Glosz Makers")} == {"european federation glass makers"}
+
+
+def test_exact_names_are_links(spark, data):
+    """Every exact name is among the links of p6_links, and none of p6_found."""
+    from tessera.llm import queries
+    from tessera.session import table
+
+    links, found = queries.p6_links(spark, data).collect(), queries.p6_found(spark, data).count()
+    exact = [r for r in links if r["form"] == "exact"]
+    register = {(r["name"], r["id"]) for r in table(spark, data, "organizations").collect()}
+    assert exact and all((r["name"], r["body"]) in register and r["score"] > 0 for r in exact)
+    assert len({(r["source_table"], r["record_id"], r["pos"], r["body"]) for r in links if r["form"] != "exact"}) == found
+
+
 def test_slips_as_brute_force():
     from functools import cache
 
@@ -325,6 +345,17 @@ def test_spans_as_brute_force(spark):
     assert spans.sharing_pairs(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_full_filters_change_nothing(spark, monkeypatch):
+    """The bitmap in front of the joins may let everything through."""
+    rng = random.Random(2)
+    part = "".join(rng.choice("abcdef ") for _ in range(400))
+    rows = [(i, "".join(rng.choice("abcdef ") for _ in range(500)) + (part if i % 7 == 0 else "") + "x" * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "d int, t string")
+    want = {tuple(r) for r in spans.sharing_pairs(df, "d", "t").collect()}
+    monkeypatch.setattr(spans, "MOST_BITS", 6)
+    assert {tuple(r) for r in spans.sharing_pairs(df, "d", "t").collect()} == want == {(a, b) for a in range(0, 60, 7) for b in range(a + 7, 60, 7)}
+
+
 def test_spans_in_periodic_text(spark):
     """Periodic runs little longer than a span, with other phases than the long runs that hold them."""
     rng = random.Random(5)
