@@ -185,6 +185,20 @@ def segments(score: list[float]) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b, *_ in kept]
 
 
+def _clusters(loss: list[float]) -> list[tuple[int, int]]:
+    """Maximum-scoring segments of improbable pairs that score 1 each, as [first, last + 1), with what is lost between them."""
+    if not loss:
+        return [(0, 1)]
+    score, back = [1.0], [0]
+    for k, x in enumerate(loss, 1):
+        if x > 0:
+            score.append(-x)
+            back.append(-1)
+        score.append(1.0)
+        back.append(k)
+    return [(back[a], back[b - 1] + 1) for a, b in segments(score)]
+
+
 class Repairer:
     """Finds and repairs runs; remembers what it has seen, as the same words come again and again."""
 
@@ -233,33 +247,21 @@ class Repairer:
         if not len(at):
             return [(0, len(c))] if len(c) == 1 and c[0] == 0xFFFD else []
         bad = self.scores.improbable[place(c[at], c[at + 1])] | (c[at] == 0xFFFD) | (c[at + 1] == 0xFFFD)
-        if not bad.any():
+        b = np.flatnonzero(bad)
+        if not len(b):
             return []
-        out = []
-        for lo, hi in self._blocks(at, bad):
-            if bad[lo:hi].any():
-                # plain pairs between two others lie together as one score: they only lower the sum
-                gaps = np.concatenate(([0], np.diff(at[lo:hi]) - 1))
-                spot = np.arange(hi - lo) + np.cumsum(gaps > 0)
-                score = np.zeros(int(spot[-1]) + 1)
-                score[spot] = np.where(bad[lo:hi], 1.0, -1.0)
-                score[spot[gaps > 0] - 1] = PLAIN * gaps[gaps > 0]
-                back = dict(zip(spot.tolist(), at[lo:hi].tolist()))  # a segment begins and ends with an improbable pair
-                out += [(back[a], back[b - 1] + 2) for a, b in segments(score.tolist())]
+        # between two improbable pairs lie probable ones and plain ones; together they only lower the sum
+        others = np.diff(b) - 1
+        loss = (others - PLAIN * (np.diff(at[b]) - 1 - others)).tolist()
+        starts = at[b].tolist()  # a segment begins and ends with an improbable pair
+        out, first = [], 0
+        for i in range(1, len(starts) + 1):
+            # no segment reaches over what loses at least as much as all improbable pairs before gain: its beginnings have positive sums
+            if i == len(starts) or i - first <= loss[i - 1]:
+                out += [(starts[first + lo], starts[first + hi - 1] + 2) for lo, hi in _clusters(loss[first : i - 1])]
+                first = i
         return out
 
-    @staticmethod
-    def _blocks(at: np.ndarray, bad: np.ndarray) -> list[tuple[int, int]]:
-        """Pairs beyond ASCII in blocks that no segment can reach over: what all improbable pairs of a block gain is no
-        more than what the plain pairs behind it lose, and a segment's beginnings all have a positive sum."""
-        gained = np.concatenate(([0], np.cumsum(bad)))
-        gaps = np.diff(at) - 1
-        cuts = [0]
-        for k in np.flatnonzero(gaps > 0):
-            if gained[k + 1] - gained[cuts[-1]] <= -PLAIN * gaps[k]:
-                cuts.append(int(k) + 1)
-        return list(zip(cuts, [*cuts[1:], len(at)]))
-
     def repair(self, text: str) -> list[tuple[int, int, str | None, float, str | None]]:
         """(start, end, restored text or None where it is lost, bits gained, mapping) of every garbled run, in order."""
         out: list[tuple[int, int, str | None, float, str | None]] = []
