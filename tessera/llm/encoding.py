@@ -167,22 +167,24 @@ def pair_scores(counts: DataFrame) -> Scores:
 
 
 def segments(score: list[float]) -> list[tuple[int, int]]:
-    """All maximal scoring segments [start, end) (Ruzzo and Tompa's definition), from left to right."""
-    kept: list[list[float]] = []  # start, end, sum before, sum up to
+    """All maximal scoring segments [start, end) (Ruzzo and Tompa's definition), from left to right, in linear time."""
+    kept: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum up to, the nearest earlier one with a smaller sum before
     total = 0.0
     for i, s in enumerate(score):
         before, total = total, total + s
         if s <= 0:
             continue
-        new = [i, i + 1, before, total]
+        start, low, j = i, before, len(kept) - 1
         while True:
-            j = next((k for k in range(len(kept) - 1, -1, -1) if kept[k][2] < new[2]), None)
-            if j is None or kept[j][3] >= new[3]:
-                kept.append(new)
+            while j >= 0 and kept[j][2] >= low:
+                j = kept[j][4]
+            if j < 0 or kept[j][3] >= total:
+                kept.append((start, i + 1, low, total, j))
                 break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
+            start, _, low, _, earlier = kept[j]
             del kept[j:]
-    return [(int(a), int(b)) for a, b, *_ in kept]
+            j = earlier
+    return [(a, b) for a, b, *_ in kept]
 
 
 def _clusters(loss: list[float]) -> list[tuple[int, int]]:
