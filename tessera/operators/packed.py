@@ -196,3 +196,28 @@ def unpacked(df: DataFrame, id_col: str, raw_col: str, hints: Hints | None = Non
     """
     found = df.where(df[raw_col].isNotNull()).select(df[id_col].alias("__id"), unpack(df[raw_col], hints).alias("__v"))
     return found.where(F.size("__v") >= least).select(F.col("__id").alias(id_col), F.posexplode("__v").alias("pos", value)).withColumn("pos", (F.col("pos") + 1).cast("int"))
+
+
+def recombined(df: DataFrame, id_col: str, raw_col: str, known: DataFrame, name_col: str, most: int = 4) -> DataFrame:
+    """id, pos (from 1), value, resolved: a field cut at its commas, where up to `most` neighbouring parts that together are
+    a known name (by its lowered writing) become one value again, from left to right, the longest first.
+
+    Runs of parts meet the names in an equi-join; only the places of hits come back to a field, which are no more than it
+    has parts. Null fields and those without a part give no row; fields of one id must be alike.
+    """
+    parts = F.filter(F.transform(F.split(df[raw_col], ","), lambda x: F.regexp_replace(x, "^ +| +$", "")), lambda x: x != "")
+    fields = df.where(df[raw_col].isNotNull()).select(df[id_col].alias("__id"), parts.alias("__p")).groupBy("__id").agg(F.min("__p").alias("__p")).where(F.size("__p") > 0)
+    starts = fields.select("__id", "__p", F.posexplode("__p").alias("i", "__x")).select("__id", "__p", "i", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")).where(F.col("i") + F.col("k") <= F.size("__p"))
+    runs = starts.select("__id", "i", "k", F.lower(F.array_join(F.slice("__p", F.col("i") + 1, F.col("k")), ", ")).alias("__n"))
+    names = known.where(known[name_col].isNotNull()).select(F.lower(known[name_col]).alias("__n")).distinct()
+    hits = runs.join(names, "__n").groupBy("__id", "i").agg(F.max("k").alias("k")).groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("i", "k"))).alias("__h"))
+    both = fields.join(hits, "__id", "left")
+    empty = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<value:string,resolved:boolean>>").alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        k = F.try_element_at("__h", i)
+        value = F.struct(F.array_join(F.slice("__p", i + 1, F.coalesce(k, F.lit(1))), ", ").alias("value"), k.isNotNull().alias("resolved"))
+        return F.when(i < acc["next"], acc).otherwise(F.struct((i + F.coalesce(k, F.lit(1))).alias("next"), F.concat(acc["out"], F.array(value)).alias("out")))
+
+    folded = both.select("__id", F.posexplode(F.aggregate(F.sequence(F.lit(0), F.size("__p") - 1), empty, step)["out"]).alias("pos", "v"))
+    return folded.select(F.col("__id").alias(id_col), (F.col("pos") + 1).alias("pos"), "v.value", "v.resolved")

@@ -536,3 +536,12 @@ def Z46_buckets(spark: SparkSession, d: str) -> DataFrame:
     """Each organisation's dominant label, in two buckets; those without one are 'other'."""
     p = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("org")).agg(F.count_if(F.col("l_returnflag") == "A").alias("a"), F.count_if(F.col("l_returnflag") == "R").alias("r"))
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("org")).join(p, "org", "left").select("org", F.when((F.col("a") >= F.col("r")) & (F.col("a") > 0), "supports").otherwise("other").alias("bucket"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT id, min(p) AS p FROM (SELECT id, list_filter(list_transform(string_split(organizations_raw, ','), lambda x: regexp_replace(x, '^ +| +$', '', 'g')), lambda x: x <> '') AS p FROM commission_meetings WHERE organizations_raw IS NOT NULL) WHERE len(p) > 0 GROUP BY 1), n AS (SELECT DISTINCT lower(name) AS n FROM organizations WHERE name IS NOT NULL),
+ h AS (SELECT s.id, s.i, max(v.k) AS k FROM (SELECT id, p, unnest(range(len(p))) AS i FROM p) s JOIN (VALUES (1), (2), (3), (4)) v(k) ON s.i + v.k <= len(s.p) JOIN n ON n.n = lower(array_to_string(s.p[s.i + 1:s.i + v.k], ', ')) GROUP BY 1, 2),
+ f AS (SELECT p.id, CAST(0 AS BIGINT) AS i, p.p FROM p UNION ALL SELECT f.id, f.i + coalesce(h.k, 1), f.p FROM f LEFT JOIN h ON h.id = f.id AND h.i = f.i WHERE f.i + coalesce(h.k, 1) < len(f.p))
+ SELECT f.id, CAST(row_number() OVER (PARTITION BY f.id ORDER BY f.i) AS INTEGER) AS pos, array_to_string(f.p[f.i + 1:f.i + coalesce(h.k, 1)], ', ') AS value, h.k IS NOT NULL AS resolved FROM f LEFT JOIN h ON h.id = f.id AND h.i = f.i""")
+def C19_recombined(spark: SparkSession, d: str) -> DataFrame:
+    """Fields cut at commas and put together again where neighbouring parts are a known name."""
+    return packed.recombined(table(spark, d, "commission_meetings"), "id", "organizations_raw", table(spark, d, "organizations"), "name")

@@ -98,3 +98,13 @@ def test_large_register(spark):
     df = spark.createDataFrame(list(enumerate(raws)), "id int, raw string")
     answers = [sorted(map(tuple, unpacked(df, "id", "raw", register_hints(reg)).collect())) for reg in (people.unionByName(bodies), spark.createDataFrame(small, "name string, organization_type string"))]
     assert answers[0] == answers[1] and (0, 1, "Candzak, Malgorzata") in answers[0] and (1, 1, "A of Food, Feed and Fibre") in answers[0]
+
+
+def test_recombined(spark):
+    from tessera.operators.packed import recombined
+
+    known = spark.createDataFrame([("Foo, Bar and Baz",), ("Bar and Baz",), ("Foo",), (None,)], "name string")
+    df = spark.createDataFrame([("a", "X, foo , Bar and Baz,Y"), ("a", "X, foo , Bar and Baz,Y"), ("b", "Bar and Baz"), ("c", None), ("d", " , "), ("e", "Foo,Foo")], "id string, raw string")
+    got = sorted(map(tuple, recombined(df, "id", "raw", known, "name").collect()))
+    assert got == [("a", 1, "X", False), ("a", 2, "foo, Bar and Baz", True), ("a", 3, "Y", False), ("b", 1, "Bar and Baz", True), ("e", 1, "Foo", True), ("e", 2, "Foo", True)]
+    assert recombined(df, "id", "raw", known.limit(0), "name").where("resolved").count() == 0
