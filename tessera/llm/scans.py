@@ -9,22 +9,30 @@ rest is reflowed into paragraphs. Texts without such traces stay as they are.
 
 from __future__ import annotations
 
+import os
 import re
+import sqlite3
+import uuid
+import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations, islice
+from urllib.parse import quote, unquote, urlparse
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import discard, stored
+from ..session import discard, shared_dir, stored
 
-#: Bounds of what a model holds, whatever the corpus: the most frequent words, token pairs, words with vectors, pairs they learn from, and lines.
+#: What a model holds in memory: the most frequent words, token pairs, words with vectors, pairs they learn from, and lines. All others are read from files, see `Files`.
 MOST_WORDS, MOST_PAIRS, MOST_VECTORS, MOST_CONTEXTS, MOST_LINES = 300_000, 1_000_000, 20_000, 1_000_000, 200_000
+#: About how many entries one of those files has.
+FILED = 500_000
 WIDTH, REACH = 24, 4
 
 #: A frequent word must occur so many times as often as the rare one, and so often at all.
@@ -202,6 +210,118 @@ def statistics(df: DataFrame, text_col: str) -> DataFrame:
     return part.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, as Python opens it."""
+    found = urlparse(shared_dir(spark))
+    if found.scheme not in ("", "file"):
+        raise ValueError(f"the model of this corpus is larger than memory: spark.checkpoint.dir must be a folder that is mounted everywhere, not {shared_dir(spark)}")
+    path = f"{unquote(found.path)}/{name}-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path
+
+
+class Files:
+    """Numbers that memory doesn't hold, by kind and key: in the shared folder, one sorted table for each remainder of the keys' checksums."""
+
+    def __init__(self, folder: str, parts: int, written: frozenset[int]):
+        self.folder, self.parts, self.written = folder, parts, written
+        self.tables: dict[int, sqlite3.Connection] = {}
+
+    def __getstate__(self) -> dict:
+        return vars(self) | {"tables": {}}
+
+    def get(self, kind: str, a: str, b: str = "") -> int | None:
+        part = zlib.crc32(f"{kind}\0{a}\0{b}".encode()) % self.parts
+        if part not in self.written:
+            return None
+        if part not in self.tables:
+            if len(self.tables) >= 500:  # open files
+                for t in self.tables.values():
+                    t.close()
+                self.tables.clear()
+            self.tables[part] = t = sqlite3.connect(f"file:{quote(self.folder)}/{part}?immutable=1", uri=True, check_same_thread=False)
+            t.execute("PRAGMA mmap_size = 1099511627776")
+        row = self.tables[part].execute("SELECT n FROM numbers WHERE kind = ? AND a = ? AND b = ?", (kind, a, b)).fetchone()
+        return row and row[0]
+
+
+def filed(entries: DataFrame, size: int) -> Files:
+    """Entries (kind, a, b, n) as files, about `size` of them; each file is written by one task, row by row."""
+    folder, parts = _folder(entries.sparkSession, "scan-files"), max(1, -(-size // FILED))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = db = None
+        path = f"{folder}/{uuid.uuid4().hex}"
+
+        def closed() -> Iterator[pd.DataFrame]:
+            if db:
+                db.commit()
+                db.close()
+                os.replace(path, f"{folder}/{now}")
+                yield pd.DataFrame({"part": [now]})
+
+        for batch in batches:
+            for part, rows in batch.groupby("part", sort=False):
+                if part != now:
+                    yield from closed()
+                    now, db = int(part), sqlite3.connect(path)
+                    db.execute("PRAGMA journal_mode = OFF")
+                    db.execute("PRAGMA synchronous = OFF")
+                    db.execute("CREATE TABLE numbers (kind TEXT, a TEXT, b TEXT, n INTEGER, PRIMARY KEY (kind, a, b)) WITHOUT ROWID")
+                db.executemany("INSERT INTO numbers VALUES (?, ?, ?, ?)", zip(rows["kind"], rows["a"], rows["b"], rows["n"].tolist()))
+        yield from closed()
+
+    keyed = entries.select(F.pmod(F.crc32(F.concat_ws("\0", "kind", "a", "b").cast("binary")), F.lit(parts)).alias("part"), "kind", "a", "b", "n")
+    done = keyed.repartition(parts, "part").sortWithinPartitions("part", "kind", "a", "b").mapInPandas(run, "part long").collect()
+    return Files(folder, parts, frozenset(r["part"] for r in done))
+
+
+class Held(dict):
+    """Numbers by key: those in memory, and the others, which are less than `floor` if they are counts, in files."""
+
+    def __init__(self, entries: dict, kind: str, files: Files, floor: float = 0):
+        super().__init__(entries)
+        self.kind, self.files, self.floor = kind, files, floor
+        self.seen: dict = {}
+
+    def get(self, key, default=None):
+        n = dict.get(self, key)
+        if n is None:
+            if key not in self.seen:
+                if len(self.seen) > 200_000:
+                    self.seen.clear()
+                self.seen[key] = self.files.get(self.kind, *key) if isinstance(key, tuple) else self.files.get(self.kind, key)
+            n = self.seen[key]
+        return default if n is None else n
+
+    def __contains__(self, key) -> bool:
+        return self.get(key) is not None
+
+    def __missing__(self, key) -> int:
+        n = self.get(key)
+        if n is None:
+            raise KeyError(key)
+        return n
+
+
+class Rows:
+    """An array in a file of the shared folder, of which only the rows asked for are read."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path}
+
+    def __getitem__(self, at):
+        if not hasattr(self, "array"):
+            self.array = np.load(self.path, mmap_mode="r")
+        return self.array[at]
+
+    def mean(self, axis: int) -> np.ndarray:
+        return np.asarray(self[:].mean(axis=axis))
+
+
 @dataclass
 class Model:
     words: dict[str, int]
@@ -210,9 +330,10 @@ class Model:
     right: dict[str, int]
     total: int
     place: dict[str, int]
-    inner: np.ndarray
-    outer: np.ndarray
+    inner: np.ndarray | Rows
+    outer: np.ndarray | Rows
     lines: dict[str, int]
+    spoken: int = 0  # occurrences of all words; 0: of those in `words`
 
     def attraction(self, a: str, b: str) -> float:
         """Bits by which b follows a more often than by chance, drawn to 0 where little is known."""
@@ -241,35 +362,67 @@ class Model:
 
 def _add(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """Rows added to a table's rows at places that may repeat."""
-    for d in range(table.shape[1]):
-        table[:, d] += np.bincount(at, rows[:, d], len(table)).astype(np.float32)
+    if len(table) > len(at):  # only the rows that occur
+        held, at = np.unique(at, return_inverse=True)
+        part = table[held]
+    else:
+        held, part = slice(None), table
+    for d in range(part.shape[1]):
+        part[:, d] += np.bincount(at, rows[:, d], len(part)).astype(np.float32)
+    if part is not table:
+        table[held] = part
+
+
+def _hits(at: np.ndarray, size: int) -> np.ndarray:
+    """How often each of some places below size occurs."""
+    if size > len(at):
+        _, at, n = np.unique(at, return_inverse=True, return_counts=True)
+        return n[at]
+    return np.bincount(at, minlength=size)[at]
 
 
-def skip_gram(pairs: list[tuple[int, int, int]] | np.ndarray, size: int, width: int = WIDTH, rounds: int = 6, negatives: int = 4, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of words and of contexts by skip-gram with negative sampling over counted pairs."""
+def skip_gram(pairs: list[tuple[int, int, int]] | np.ndarray | list[str], size: int, width: int = WIDTH, rounds: int = 6, negatives: int = 4, seed: int = 5, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of words and of contexts by skip-gram with negative sampling over counted pairs.
+
+    Pairs too many for memory are paths of arrays, of which one at a time is read; vectors are then files `inner.npy` and `outer.npy` of a folder.
+    """
     rng = np.random.default_rng(seed)
-    inner, outer = rng.normal(0, 0.1, (size, width)).astype(np.float32), np.zeros((size, width), np.float32)
+    table = lambda name: np.lib.format.open_memmap(f"{folder}/{name}.npy", "w+", np.float32, (size, width)) if folder else np.zeros((size, width), np.float32)
+    inner, outer = table("inner"), table("outer")
+    for lo in range(0, size, 100_000):
+        part = inner[lo : lo + 100_000]
+        part[:] = rng.normal(0, 0.1, part.shape)
     if not len(pairs):
         return inner, outer
-    data = np.asarray(pairs, np.int64)
-    both = np.concatenate((data, data[:, [1, 0, 2]]))
-    weight = np.minimum(both[:, 2], 1000) ** 0.5
-    noise = np.bincount(both[:, 1], both[:, 2], size) ** 0.75
+    parts = pairs if isinstance(pairs[0], str) else [pairs]
+
+    def both_ways(part) -> np.ndarray:
+        data = np.load(part) if isinstance(part, str) else np.asarray(part, np.int64)
+        return np.concatenate((data, data[:, [1, 0, 2]]))
+
+    noise = np.zeros(size)
+    for part in parts:
+        both = both_ways(part)
+        noise += np.bincount(both[:, 1], both[:, 2], size)
+    noise **= 0.75
     noise = np.cumsum(noise / noise.sum())
     for r in range(rounds):
         rate = 0.3 * (1 - r / rounds) + 0.02
-        for part in np.array_split(rng.permutation(len(both)), max(1, len(both) // 4096)):
-            i, j, w = both[part, 0], both[part, 1], weight[part]
-            w = (w / w.mean()).astype(np.float32)
-            js = np.concatenate((j[:, None], np.searchsorted(noise, rng.random((len(part), negatives))).clip(0, size - 1)), axis=1)
-            x, y = inner[i], outer[js]
-            label = np.zeros(js.shape, np.float32)
-            label[:, 0] = 1
-            g = (label - 1 / (1 + np.exp(-np.einsum("nd,nkd->nk", x, y).clip(-20, 20)))) * w[:, None] * rate
-            dx, dy = np.einsum("nk,nkd->nd", g, y), g[:, :, None] * x[:, None, :]
-            hits_i, hits_j = np.bincount(i, minlength=size), np.bincount(js.ravel(), minlength=size)
-            _add(inner, i, dx / np.sqrt(hits_i[i])[:, None])
-            _add(outer, js.ravel(), dy.reshape(-1, width) / np.sqrt(hits_j[js.ravel()])[:, None])
+        for p in rng.permutation(len(parts)) if len(parts) > 1 else [0]:
+            both = both_ways(parts[p])
+            weight = np.minimum(both[:, 2], 1000) ** 0.5
+            for part in np.array_split(rng.permutation(len(both)), max(1, len(both) // 4096)):
+                i, j, w = both[part, 0], both[part, 1], weight[part]
+                w = (w / w.mean()).astype(np.float32)
+                js = np.concatenate((j[:, None], np.searchsorted(noise, rng.random((len(part), negatives))).clip(0, size - 1)), axis=1)
+                x, y = inner[i], outer[js]
+                label = np.zeros(js.shape, np.float32)
+                label[:, 0] = 1
+                g = (label - 1 / (1 + np.exp(-np.einsum("nd,nkd->nk", x, y).clip(-20, 20)))) * w[:, None] * rate
+                dx, dy = np.einsum("nk,nkd->nd", g, y), g[:, :, None] * x[:, None, :]
+                at = js.ravel()
+                _add(inner, i, dx / np.sqrt(_hits(i, size))[:, None])
+                _add(outer, at, dy.reshape(-1, width) / np.sqrt(_hits(at, size))[:, None])
     return inner, outer
 
 
@@ -288,29 +441,109 @@ def _floors(counts: DataFrame, most: dict[str, int], group: str = "kind", steps:
     return out
 
 
-def train(stats: DataFrame) -> Model:
-    """A model of bounded size from the statistics of all texts: only the most frequent entries come to the driver.
+def _numbered(known: DataFrame) -> DataFrame:
+    """(a, place): words by their place from the most frequent on, without all of them in one task."""
+    rows = stored(known.orderBy(F.desc("n"), "a").select("a", F.monotonically_increasing_id().alias("m")), "scan-words")
+    sizes = dict(rows.groupBy(F.shiftright("m", 33).alias("p")).count().collect())  # a row a partition
+    starts = [(p, sum(n for q, n in sizes.items() if q < p)) for p in sizes]
+    starts = known.sparkSession.createDataFrame(starts, "p long, start long")
+    out = stored(rows.join(F.broadcast(starts), F.shiftright("m", 33) == F.col("p")).select("a", (F.col("start") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("place")), "scan-places")
+    discard(rows)
+    return out
+
 
-    Sums (how often a token is the first or second of any pair) are over all pairs, also those the model doesn't hold.
+def _pair_files(near: DataFrame, places: DataFrame, size: int, folder: str) -> list[str]:
+    """Counted pairs of words that have places as arrays (place, place, n) in files of a folder."""
+    parts = max(1, -(-size // FILED))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rows = None, []
+
+        def closed() -> Iterator[pd.DataFrame]:
+            if rows:
+                path = f"{folder}/{uuid.uuid4().hex}.npy"
+                np.save(path, np.concatenate(rows))
+                os.replace(path, f"{folder}/{now}.npy")
+                yield pd.DataFrame({"part": [now]})
+
+        for batch in batches:
+            for part, some in batch.groupby("part", sort=False):
+                if part != now:
+                    yield from closed()
+                    now, rows = int(part), []
+                rows.append(some[["i", "j", "n"]].to_numpy(np.int64))
+        yield from closed()
+
+    first, second = (places.select(F.col("a").alias(k), F.col("place").alias(p)) for k, p in (("a", "i"), ("b", "j")))
+    keyed = near.select("a", "b", "n").join(first, "a").join(second, "b").withColumn("part", F.pmod(F.crc32(F.concat_ws("\0", "a", "b").cast("binary")), F.lit(parts)))
+    done = keyed.repartition(parts, "part").sortWithinPartitions("part", F.desc("n"), "a", "b").select("part", "i", "j", "n").mapInPandas(run, "part long").collect()
+    return [f"{folder}/{r}.npy" for r in sorted(r["part"] for r in done)]
+
+
+def train(stats: DataFrame) -> Model:
+    """A model from the statistics of all texts. Only the most frequent entries come to the driver; the others are in files of the shared folder,
+    as are the vectors if words or pairs are too many, so that a model of any size has every count, and a vector of every frequent word learnt from all its pairs.
     """
     stats = stored(stats, "scan-statistics")
+    spark = stats.sparkSession
     floor = _floors(stats, {"w": MOST_WORDS, "f": MOST_PAIRS, "c": MOST_CONTEXTS, "l": MOST_LINES})
-    top = lambda kind, least=1: stats.where((F.col("kind") == kind) & (F.col("n") >= max(floor[kind], least))).select("a", "b", "n").toPandas().sort_values(["n", "a", "b"], ascending=[False, True, True])
-    words, follow, near, lines = top("w"), top("f"), top("c"), top("l", TEMPLATE)
-    frequent = words.head(MOST_VECTORS)
-    frequent = frequent[frequent["n"] >= LEAST]
-    place = {w: i for i, w in enumerate(frequent["a"])}
-    near = pd.DataFrame({"a": near["a"].map(place), "b": near["b"].map(place), "n": near["n"]}).dropna().astype("int64")
-    inner, outer = skip_gram(near.to_numpy(), len(place))
+    entries = {r["kind"]: (r["n"], r["entries"]) for r in stats.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("entries")).collect()}
+    of = lambda kind, least=1: stats.where((F.col("kind") == kind) & (F.col("n") >= least))
+    top = lambda kind, least=1: of(kind, max(floor[kind], least)).select("a", "b", "n").toPandas().sort_values(["n", "a", "b"], ascending=[False, True, True])
+    words, follow, lines = top("w"), top("f"), top("l", TEMPLATE)
+    rest = [of(kind, least).where(F.col("n") < floor[kind]) for kind, least in (("w", 1), ("f", 1), ("l", TEMPLATE)) if floor[kind] > least]
+    frequent = words[words["n"] >= LEAST]
+    passing = []
+    if floor["w"] > LEAST or floor["c"] > 0 and len(frequent) or len(frequent) > MOST_VECTORS:
+        places = _numbered(of("w", LEAST))
+        passing.append(places)
+        folder = _folder(spark, "scan-vectors")
+        files = _pair_files(of("c"), places, entries["c"][1] if "c" in entries else 0, folder)
+        size = places.count()
+        skip_gram(files, size, folder=folder)
+        for f in files:
+            os.remove(f)
+        inner, outer = Rows(f"{folder}/inner.npy"), Rows(f"{folder}/outer.npy")
+        some = places.where(F.col("place") < MOST_VECTORS).toPandas()
+        place = dict(zip(some["a"], map(int, some["place"])))
+        if size > MOST_VECTORS:
+            rest.append(places.where(F.col("place") >= MOST_VECTORS).select(F.lit("place").alias("kind"), "a", F.lit("").alias("b"), F.col("place").alias("n")))
+    else:
+        near = top("c")
+        place = {w: i for i, w in enumerate(frequent["a"])}
+        size = len(place)
+        near = pd.DataFrame({"a": near["a"].map(place), "b": near["b"].map(place), "n": near["n"]}).dropna().astype("int64")
+        inner, outer = skip_gram(near.to_numpy(), size)
     sides = stats.where("kind = 'f'").select("n", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("a").alias("x")), F.struct(F.lit("r").alias("side"), F.col("b").alias("x")))).alias("s")).groupBy("s.side", "s.x").agg(F.sum("n").alias("n"))
     sides = stored(sides, "scan-sides")
     least = _floors(sides, {"l": MOST_WORDS, "r": MOST_WORDS}, "side")
-    kept = sides.where(F.col("n") >= F.when(F.col("side") == "l", F.lit(least["l"])).otherwise(F.lit(least["r"]))).toPandas()
+    enough = F.col("n") >= F.when(F.col("side") == "l", F.lit(least["l"])).otherwise(F.lit(least["r"]))
+    kept = sides.where(enough).toPandas()
     left, right = (dict(zip(x["x"], map(int, x["n"]))) for x in (kept[kept["side"] == "l"], kept[kept["side"] == "r"]))
-    total = stats.where("kind = 'f'").agg(F.sum("n")).first()[0] or 0
-    discard(stats, sides)
-    follows = dict(zip(zip(follow["a"], follow["b"]), map(int, follow["n"])))
-    return Model(dict(zip(words["a"], map(int, words["n"]))), follows, left, right, int(total), place, inner, outer, dict(zip(lines["a"], map(int, lines["n"]))))
+    if any(least.values()):
+        rest.append(sides.where(~enough).select(F.concat(F.lit("side "), "side").alias("kind"), F.col("x").alias("a"), F.lit("").alias("b"), "n"))
+    files = None
+    if rest:
+        rest = stored(reduce(DataFrame.unionByName, [x.select("kind", "a", "b", "n") for x in rest]), "scan-rest")
+        files = filed(rest, rest.count())
+        passing.append(rest)
+    discard(stats, sides, *passing)
+    held = lambda found, kind, below: Held(found, kind, files, below) if below else found
+    model = Model(
+        held(dict(zip(words["a"], map(int, words["n"]))), "w", floor["w"]),
+        held(dict(zip(zip(follow["a"], follow["b"]), map(int, follow["n"]))), "f", floor["f"]),
+        held(left, "side l", least["l"]),
+        held(right, "side r", least["r"]),
+        int(entries["f"][0]) if "f" in entries else 0,
+        held(place, "place", max(0, size - MOST_VECTORS)),
+        inner,
+        outer,
+        held(dict(zip(lines["a"], map(int, lines["n"]))), "l", floor["l"] if floor["l"] > TEMPLATE else 0),
+        int(entries["w"][0]) if "w" in entries else 0,
+    )
+    if size:
+        model.average()
+    return model
 
 
 def misreadings(word: str) -> Iterator[tuple[str, int]]:
@@ -368,21 +601,24 @@ class Reader:
         self.joins: dict[tuple[str, str], str | None] = {}
         self.flags, self.bares = _Flags(self), _Bares()
         known = [w for w, n in model.words.items() if n >= LEAST]
-        self.rare = RARE * sum(model.words.values())
+        self.rare = RARE * (model.spoken or sum(model.words.values()))
+        self.floor = getattr(model.words, "floor", 0)  # words that occur less often are in files
         self.forth, self.back = sorted(known), sorted(w[::-1] for w in known)
 
     def flags_of(self, word: str) -> int:
         """1: it has a likely reading. 2 and 4: a frequent word begins or ends with it. 8: it is as good as unknown."""
         begins = lambda words, w: (i := bisect_left(words, w)) + (i < len(words) and words[i] == w) < len(words) and words[i + (words[i] == w)].startswith(w)
-        return bool(self.likely(word)) + 2 * begins(self.forth, word) + 4 * begins(self.back, word[::-1]) + 8 * (self.count(word) <= self.rare)
+        part = 6 if self.floor > LEAST else 2 * begins(self.forth, word) + 4 * begins(self.back, word[::-1])  # frequent words in files aren't searched: any word may be part of one
+        return bool(self.likely(word)) + part + 8 * (self.count(word) <= self.rare)
 
     def spots(self, typed: list[str]) -> list[int]:
         """Places of words that have another reading or may be one word with the next (see _joined), by what each can be part of."""
         flags = list(map(self.flags.__getitem__, typed))
         return [i for i, (a, b) in enumerate(zip(flags, [*flags[1:], 0])) if a & 1 or (a & 2 and b & 4) or a & b & 8]
 
-    def count(self, word: str) -> int:
-        return self.m.words.get(word, 0)
+    def count(self, word: str, least: float = 0) -> int:
+        """How often a word occurs; may be 0 for one that occurs less than `least` times."""
+        return dict.get(self.m.words, word, 0) if least >= self.floor else self.m.words.get(word, 0)
 
     def likely(self, word: str) -> list[tuple[str, int]]:
         """Frequent words that a rare one can be a misreading of, the best first."""
@@ -393,8 +629,8 @@ class Reader:
         if len(word) >= 3 and not word.isdigit():
             seen: dict[str, int] = {}
             for other, edits in misreadings(word):
-                c = self.count(other)
-                if c >= max(LEAST, RATIO * max(n, 1) * (1 if edits == 1 else 3)) and other != word and edits < seen.get(other, 9):
+                least = max(LEAST, RATIO * max(n, 1) * (1 if edits == 1 else 3))
+                if self.count(other, least) >= least and other != word and edits < seen.get(other, 9):
                     seen[other] = edits
             found = sorted(seen.items(), key=lambda x: (x[1], -self.count(x[0])))
         if len(self.links) > self.memory:
@@ -576,9 +812,7 @@ def readings(df: DataFrame, text: Column, model: Model, texts: bool = True) -> C
 
     Null and empty texts have no traces and stay as they are, as do texts without any trace.
     """
-    import uuid
-
-    shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # of bounded size, see MOST_WORDS
+    shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # of bounded size, see MOST_WORDS; the rest is in files
 
     @F.pandas_udf("struct<broken:int,misread:int,split:int,furniture:int,text:string>")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -435,6 +435,43 @@ def test_misreadings_at_any_scale(spark):
             assert (r.misread, r.split, r.text) == (1, 1, plain[0]), (copies, times)
 
 
+def test_models_larger_than_memory(spark, monkeypatch):
+    """A model of which memory holds next to nothing has the same counts and vectors, and reads texts in the same way."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        plain = " ".join(rng.choice(BODY) for _ in range(4)) + f" Remark {chr(97 + i % 26)}{chr(97 + i // 26)}k was noted."
+        lines = wrapped(plain, rng.choice([60, 70]), rng, hyphens=i % 5 == 0)
+        if i % 5 == 1:
+            lines[3:3] = [f"- {i} -", "Cabinet Foo / 2014"]
+        text = "\n".join(lines) if i % 2 else plain
+        if i % 12 == 4:
+            text = text.replace("harmonisation", "harmonisati0n").replace("prejudice", "pr ejudice").replace("consequences", "conse quences")
+        rows.append((i, text))
+    df = spark.createDataFrame(rows, "id int, text string")
+    stats = scans.statistics(df, "text")
+    want, read = scans.train(stats), {tuple(r) for r in scans.repaired(df, ["id"], "text").collect()}
+    assert not any(isinstance(x, scans.Held) for x in vars(want).values())
+    found = [sum(r[k] > 0 for r in read) for k in (1, 2, 3, 4)]
+    assert min(found) >= 5, found
+    for words, pairs, vectors, contexts, shapes in [(10, 10, 5, 10, 2), (10, 10**6, 10**6, 10**6, 10**6), (10**6, 10, 10**6, 10**6, 2), (10**6, 10**6, 5, 10**6, 10**6), (10**6, 10**6, 10**6, 10, 10**6)]:
+        for name, n in {"MOST_WORDS": words, "MOST_PAIRS": pairs, "MOST_VECTORS": vectors, "MOST_CONTEXTS": contexts, "MOST_LINES": shapes}.items():
+            monkeypatch.setattr(scans, name, n)
+        model = scans.train(stats)
+        assert len(model.words) <= words and len(model.follow) <= pairs and len(model.place) <= vectors and len(model.lines) <= shapes
+        for name in ("words", "follow", "left", "right", "place", "lines"):
+            all_ = getattr(want, name)
+            assert {k: getattr(model, name).get(k) for k in all_} == all_, name
+            assert ("no such" if name != "follow" else ("no", "such")) not in getattr(model, name)
+        assert model.total == want.total and np.array_equal(model.inner[:], want.inner) and np.array_equal(model.outer[:], want.outer)
+        assert {tuple(r) for r in scans.repaired(df, ["id"], "text", model).collect()} == read
+    monkeypatch.setattr(scans, "FILED", 50)  # many files, vectors learnt file by file
+    small = scans.train(stats)
+    assert len(small.inner[:]) == len(want.place) and np.isfinite(small.inner[:]).all()
+    monkeypatch.undo()
+    assert {tuple(r) for r in scans.repaired(df, ["id"], "text", small).collect()} == read
+
+
 # -- matching --
 
 # A register in words of its own: nothing of it is in the code.
